@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, url_filter
-from lodestone.llm.common import table
+from pyspark.sql import functions as F
+
+from lodestone.llm import media, mixing, topk, toxicity, url_filter
+from lodestone.llm.common import held_out, table
 
 #: The rules of the url query.
 RULES = [
@@ -19,22 +21,60 @@ RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    config = toxicity.ToxicityConfig()
+    out_of_training = held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out_of_training, config)
+    scored = toxicity.score(docs, model, config)
+    return scored.select("doc_id", out_of_training.alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filter.filter_urls(pages, RULES)
     return out.select("_row.page_id", "host", "path", "rule", "verdict")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_media": op2_media,
         "op3_url_filter": op3_url_filter,
+        "op4_topk": op4_topk,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_topk": OP4_SQL,
+    }
