@@ -92,15 +92,15 @@ def top_k(
     spread = F.xxhash64("id")
     rows = good.select("id", "v", F.pmod(spread, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
     asked = good.where("q").dropDuplicates(["id"]).select(
-        "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(spread, F.lit(tiles)).cast("int").alias("tile")
+        F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(spread, F.lit(tiles)).cast("int").alias("tile")
     )
 
     def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = [x.split()[0] for x in HITS.split(", ")], [pa.int64()] * 4
-        ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        if not len(ids) or not len(query_ids):
+        if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        q, found, score = best_of(_matrix(right.column("v"), dim, scale), query_ids, _matrix(left.column("v"), dim, scale), ids, k)
+        ids, query_ids = left.column("id").to_numpy(), right.column("qid").to_numpy()
+        q, found, score = best_of(_matrix(right.column("qv"), dim, scale), query_ids, _matrix(left.column("v"), dim, scale), ids, k)
         return pa.table([query_ids[q], np.full(len(q), key[1].as_py(), np.int64), found, score], names=names)
 
     lists = rows.groupBy("tile", "shard").cogroup(asked.groupBy("tile", "shard")).applyInArrow(block, HITS)
