@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, media, mixing, topk, toxicity, url_filter
+from lodestone.llm import langid, media, minhash, mixing, sentencepiece_codec, token_counts, topk, toxicity, url_filter
 from lodestone.llm.common import held_out, table
 
+#: Where the public vocabulary files are; each is a parameter of its query.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The rules of the url query.
 RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -60,6 +63,28 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.read_model(model_path), digest=True)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, ranks_path: str = BYTE_RANKS) -> DataFrame:
+    """Counts before and after four edits: a cut at a quarter, an insertion at the middle, an overwritten word end, an appended line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length("text")
+    edit = lambda start, stop, text: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.lit(text).alias("text"))
+    quarter, middle, late = F.floor(n / 4), F.floor(n / 2), F.floor(3 * n / 4)
+    edits = F.array(
+        edit(quarter, quarter + 12, ""), edit(middle, middle, " (see note 42)"), edit(late, late + 3, "'s"), edit(n + 100, n + 100, "\n\nAppended line.")
+    )
+    return token_counts.count_documents(docs, token_counts.read_ranks(ranks_path), edits)
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, minhash.MinHashConfig(words=4)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out_of_training = held_out(F.col("doc_id"))
@@ -77,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": op2_media,
         "op3_url_filter": op3_url_filter,
         "op4_topk": op4_topk,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op7_token_counts": op7_token_counts,
+        "op8_minhash": op8_minhash,
         "op9_langid": op9_langid,
         "op10_mixing": op10_mixing,
     }
