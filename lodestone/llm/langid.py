@@ -267,11 +267,13 @@ def predict(docs: DataFrame, model: Model, config: LangConfig = LangConfig(), te
     """The ``keep`` columns, ``lang_pred`` and ``score`` for every row."""
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
     schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights for each of at most most_languages
+    # 2**bits weights for each of at most most_languages
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.emission, model.transition))
 
     def run(batches):
+        own = Model(*shared.value)
         for b in batches:
-            got = label_texts(b.column("_text").to_pylist(), shared.value, config)
+            got = label_texts(b.column("_text").to_pylist(), own, config)
             cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "lang_pred", "score"])
 
