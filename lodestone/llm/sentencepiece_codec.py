@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import pieces_of
 
@@ -270,7 +271,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
     """The ``keep`` columns, ``n_tokens`` and ``ids``; with ``digest``, instead of ids their sha256
     (4 bytes each, little-endian) and whether decoding gives the text again."""
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    extra = [("ids_sha256", "string"), ("round_trip", "boolean")] if digest else [("ids", "array<int>")]
+    extra = [("ids_sha256", "string"), ("round_trip", "boolean")] if digest else [("ids", T.ArrayType(T.IntegerType()))]
     schema = given.drop("_text").schema.add("n_tokens", "long")
     for name, kind in extra:
         schema = schema.add(name, kind)
