@@ -25,9 +25,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _loaded() -> None:
+    from lodestone.plans import join_queries, lod_queries, scalar_queries, set_queries, source_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_SQL)
