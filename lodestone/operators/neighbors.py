@@ -51,7 +51,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False, per_c
         if same:
             pairs = pairs.where("pid <> neighbor")
         d2 = geo.distance2(geo.vec("x", "y", "z"), geo.vec("px", "py", "pz"))
-        found = pairs.select("pid", "neighbor", d2.alias("d2")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        pairs = pairs.select("pid", "neighbor", d2.alias("d2"))
+        if k == 1:  # partial aggregation keeps one candidate per task
+            found = pairs.groupBy("pid").agg(F.min(F.struct("d2", "neighbor")).alias("m")).select("pid", "m.neighbor", "m.d2", F.lit(1).alias("rank"))
+        else:
+            found = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         if whole:
             return found if done is None else done.unionByName(found)
         found = cut(found)

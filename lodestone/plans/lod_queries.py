@@ -217,7 +217,7 @@ def grid_charts(spark, d) -> DataFrame:
 def mesh_cleaning(spark, d) -> DataFrame:
     from lodestone.plans.join_queries import triangles
 
-    return mesh.cleaned(triangles(spark, d), vertices(spark, d), least_faces=2)[0]
+    return mesh.cleaned(triangles(spark, d), vertices(spark, d), least_faces=1)[0]
 
 
 @query("att11_surface_samples")
