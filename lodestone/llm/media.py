@@ -144,7 +144,7 @@ def media_features(df: DataFrame, media: str, side: int = TILE) -> DataFrame:
     """``_row`` (the other columns), height, width, dhash, tile (NPY bytes) and error for a binary column of images."""
     rest = [c for c in df.columns if c != media]
     given = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row") if rest else F.lit(0).alias("_row"), F.col(f"`{media}`").alias("_media"))
-    schema = given.select("_row").schema.add("height", "int").add("width", "int").add("dhash", "string").add("tile", "binary").add("error", "string")
+    schema = given.select("_row").schema.add("height", "integer").add("width", "integer").add("dhash", "string").add("tile", "binary").add("error", "string")
 
     def run(batches):
         for b in batches:
