@@ -7,6 +7,10 @@ and sinks only.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,8 +110,6 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    import tempfile
-
     key = spark.sparkContext.applicationId
     return "file://" + _LOCAL.setdefault(key, tempfile.mkdtemp(prefix="lodestone-"))
 
@@ -115,10 +117,18 @@ def scratch_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is scratch space
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared scratch folder and read it again: driver loops over levels keep short plans and survive lost executors."""
-    import uuid
-
     path = f"{scratch_dir(df.sparkSession)}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -155,3 +155,27 @@ def unpacked_cells(packed: DataFrame) -> DataFrame:
     """The long form of packed words."""
     bit = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1)"))
     return packed.withColumn("_i", bit).select("cell_id", "model_id", (F.col("word") * 64 + F.col("_i")).alias("node_id"))
+
+
+def sampled_visibility(cells: DataFrame, boxes: DataFrame, samples: int, seed: int = 3) -> DataFrame:
+    """Nodes that rays from seeded positions in each cell, in six directions, meet first.
+
+    ``cells`` has cell_id, low corner lx, ly, lz and edge; ``boxes`` id and min/max. Rays stand in for a rendering.
+    """
+    from lodestone.operators.neighbors import rays_boxes
+
+    u = lambda salt: F.pmod(F.xxhash64("cell_id", "sample", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
+    at = cells.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    at = at.withColumns({f"o{c}": F.col(f"l{c}") + u(c) * F.col("edge") for c in "xyz"})
+    axes = F.array(*(F.struct(*(F.lit(float(s if k == a else 0)).alias(f"d{c}") for k, c in enumerate("xyz"))) for a in range(3) for s in (-1, 1)))
+    at = at.select("*", F.posexplode(axes).alias("direction", "d")).select("cell_id", "ox", "oy", "oz", "d.*", F.concat_ws("_", "cell_id", "sample", "direction").alias("ray_id"))
+    hits = rays_boxes(at.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), boxes)
+    return hits.select(F.split("ray_id", "_")[0].cast("long").alias("cell_id"), F.lit(0).alias("model_id"), F.col("node").alias("node_id")).distinct()
+
+
+def atlas_level(tiles: DataFrame, level: int) -> DataFrame:
+    """All tiles of a level with their places; the id range prunes the scan."""
+    first = tree.first_of_depth(level, 4)
+    at = tiles.where(F.col("tile_id").between(first, first + 4**level - 1))
+    x, y = tree.quad_decoded(F.col("tile_id"), level)
+    return at.withColumn("x", x).withColumn("y", y)

@@ -367,6 +367,24 @@ def extrapolate(spark, d) -> DataFrame:
     return vis.extrapolated(seen(spark, d).select((F.col("cell_id") % 6).cast("int").alias("direction"), "model_id", "node_id").distinct())
 
 
+@query("vis09_sampled_visibility")
+def sampled_visibility(spark, d) -> DataFrame:
+    from lodestone.plans.join_queries import part_boxes
+
+    k = F.col("id")
+    cells = spark.range(8).select(k.alias("cell_id"), (k % 2 * 50.0).alias("lx"), (45.0 + F.floor(k / 2) % 2 * 30.0).alias("ly"), (F.floor(k / 4) * 50.0).alias("lz"), F.lit(40.0).alias("edge"))
+    return vis.sampled_visibility(cells, part_boxes(spark, d), 16)
+
+
+@query(
+    "src22_atlas_level",
+    """SELECT o_orderkey AS tile_id, o_totalprice AS payload, CAST(list_sum(list_transform(range(0, 5), lambda i: (((o_orderkey - 341) >> (2 * i)) & 1) << i)) AS BIGINT) AS x,
+      CAST(list_sum(list_transform(range(0, 5), lambda i: (((o_orderkey - 341) >> (2 * i + 1)) & 1) << i)) AS BIGINT) AS y FROM orders WHERE o_orderkey BETWEEN 341 AND 1364""",
+)
+def atlas_level(spark, d) -> DataFrame:
+    return vis.atlas_level(read(spark, d, "orders").select(F.col("o_orderkey").alias("tile_id"), F.col("o_totalprice").alias("payload")), 5)
+
+
 @query("vis10_cell_data", SEEN + " SELECT cell_id, model_id, node_id FROM seen WHERE cell_id = 13")
 def cell_data(spark, d) -> DataFrame:
     return seen(spark, d).where("cell_id = 13")
