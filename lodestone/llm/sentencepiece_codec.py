@@ -47,6 +47,7 @@ class Codec:
     """Encoder and decoder for a serialized model."""
 
     def __init__(self, model: bytes):
+        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -69,14 +70,14 @@ class Codec:
         self.longest = max(map(len, self.pieces), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece holds a mark after other characters")
-        self.known = {c for p in self.pieces for c in p}
-        # A step of the search only tries lengths that some piece with this last character has.
-        ends: dict[str, set[int]] = {}
+        # The pieces that end at each place of a word, longest first.
+        self.ending = ahocorasick.Automaton()
         for p in self.pieces:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
+            self.ending.add_word(p, p)
+        self.ending.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, array] = {}
+        self.broken: set[str] = set()  # words that decoding does not give again
 
     # -- merging, used for pairs, runs of marks and as the plain definition --
 
@@ -112,7 +113,7 @@ class Codec:
         if got is None:
             if len(self.apart) >= CACHE:
                 self.apart.clear()
-            got = self.apart[key] = self.merged(a + b) == [a, b]
+            got = self.apart[key] = self.merged(a + b) == ([a, b] if a else [b])  # without a, b starts the word
         return got
 
     # -- the shared-prefix pass --
@@ -123,57 +124,50 @@ class Codec:
         # Index of a state: the number of characters of the prefix.
         piece: list[str] = [""]
         best: list[float] = [0.0]
-        pieces, lengths, apart, score = self.pieces, self.lengths, self.apart, self.score
+        pieces, apart, score, ending, size = self.pieces, self.apart, self.score, self.ending.iter, len
         for word in sorted(words):
-            shared, most = 0, min(len(last), len(word))
+            shared, most = 0, min(size(last), size(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
             del piece[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                c = word[end - 1]
-                if c not in self.known:  # nothing merges with it
-                    piece.append(c)
-                    best.append(best[end - 1] - 1e6)
-                    continue
-                if self.bpe:
-                    found = ""
-                    for n in lengths[c] if c in lengths else ():
-                        if n <= end and (p := word[end - n : end]) in pieces:
-                            before = piece[end - n]
-                            if not before:
-                                if self.reachable(p):
-                                    found = p
-                                    break
-                            else:
-                                ok = apart.get((before, p))
-                                if ok if ok is not None else self.stays_apart(before, p):
-                                    found = p
-                                    break
-                    piece.append(found or c)
-                    best.append(0.0)
-                else:
-                    top, found = best[end - 1] - 1e6, c
-                    for n in lengths.get(c, ()):
-                        if n <= end and (t := pieces.get(word[end - n : end])) is not None and best[end - n] + score[t] > top:
-                            top, found = best[end - n] + score[t], word[end - n : end]
+            done = shared  # places with a state; one without a fitting piece takes its character
+            if self.bpe:
+                for at, p in ending(word):
+                    if at < done:
+                        continue
+                    while done < at:
+                        piece.append(word[done])
+                        done += 1
+                    before = piece[at + 1 - size(p)]
+                    ok = apart.get((before, p))
+                    if ok if ok is not None else self.stays_apart(before, p):
+                        piece.append(p)
+                        done += 1
+                while done < size(word):
+                    piece.append(word[done])
+                    done += 1
+            else:
+                by_end: dict[int, list[str]] = {}
+                for at, p in ending(word):
+                    by_end.setdefault(at + 1, []).append(p)
+                for end in range(shared + 1, size(word) + 1):
+                    top, found = best[end - 1] - 1e6, word[end - 1]
+                    for p in by_end.get(end, ()):
+                        total = best[end - size(p)] + score[pieces[p]]
+                        if total > top:
+                            top, found = total, p
                     piece.append(found)
                     best.append(top)
             last = word
-            ids, end = [], len(word)
+            ids, end = [], size(word)
             while end:
                 p = piece[end]
-                ids += self.ids_of(p)[::-1]
-                end -= len(p)
+                t = pieces.get(p)
+                ids += [t] if t is not None else self.ids_of(p)[::-1]
+                end -= size(p)
             out[word] = array("i", ids[::-1])
         return out
 
-    def reachable(self, p: str) -> bool:
-        key = ("", p)
-        got = self.apart.get(key)
-        if got is None:
-            got = self.apart[key] = len(self.merged(p)) == 1
-        return got
-
     def ids_of(self, p: str) -> list[int]:
         t = self.pieces.get(p)
         if t is not None:
@@ -196,11 +190,13 @@ class Codec:
         out = [m.split(MARK, 1)[0]] if not head and m else []
         return out + self._runs.findall(m)
 
-    def encode_many(self, texts: list[str | None]) -> list[array | None]:
+    def encode_many(self, texts: list[str | None], check: bool = False) -> list[array | None]:
+        """Ids of each text; with ``check``, words whose ids do not decode to them are noted."""
         split = [self.split(t) if t else [] for t in texts]
         new = {w for s in split for w in s}
         if len(self.words) + len(new) > CACHE:
             self.words.clear()
+            self.broken.clear()
         known = self.words
         new = [w for w in new if w not in known]
         plain = [w for w in new if not (self.bpe and w.startswith(MARK * 2))]
@@ -208,6 +204,8 @@ class Codec:
         for w in new:
             if self.bpe and w.startswith(MARK * 2):
                 known[w] = self.encode_run(w)
+        if check:
+            self.broken.update(w for w in new if self.decode(known[w], whole=False) != w.replace(MARK, " "))
         out: list[array | None] = []
         for t, s in zip(texts, split, strict=True):
             ids = array("i")
@@ -233,10 +231,14 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(self.encode_many([text])[0])
 
-    def decode(self, ids) -> str:
-        """The text of ids; control pieces are silent, runs of byte pieces are UTF-8 with replacement of broken ones."""
+    def round_trips(self, text: str) -> bool:
+        """Does decoding the text's ids give the text? Every word starts with a mark's piece, so words decode one by one."""
+        return not self.broken or self.broken.isdisjoint(self.split(text))
+
+    def decode(self, ids, whole: bool = True) -> str:
+        """The text of ids (or, unless ``whole``, of a word's ids); control pieces are silent, runs of byte pieces are UTF-8 with replacement of broken ones."""
         out, held = [], bytearray()
-        byte_of, text = self.byte_of, self.text
+        byte_of, pieces = self.byte_of, self.text
         for i in ids:
             b = byte_of.get(i)
             if b is not None:
@@ -246,11 +248,11 @@ class Codec:
                 out.append(held.decode("utf-8", "replace"))
                 held = bytearray()
             if i not in self.control:
-                out.append(text[i] if i != self.unknown else " ⁇ ")
+                out.append(pieces[i] if i != self.unknown else " ⁇ ")
         if held:
             out.append(held.decode("utf-8", "replace"))
-        whole = "".join(out).replace(MARK, " ")
-        return whole[1:] if self.prefix and whole[:1] == " " else whole
+        text = "".join(out).replace(MARK, " ")
+        return text[1:] if whole and self.prefix and text[:1] == " " else text
 
 
 def _codec(model: bytes, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker
@@ -282,11 +284,11 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
         for b in batches:
             texts = b.column("_text").to_pylist()
             for lo, hi in pieces_of(texts):
-                got = codec.encode_many(texts[lo:hi])
+                got = codec.encode_many(texts[lo:hi], check=digest)
                 n = pa.array([None if g is None else len(g) for g in got], pa.int64())
                 if digest:
                     sha = [None if g is None else hashlib.sha256(np.frombuffer(g, np.int32).astype("<i4").tobytes()).hexdigest() for g in got]
-                    same = [None if g is None else codec.decode(g) == t.replace(MARK, " ") for g, t in zip(got, texts[lo:hi], strict=True)]
+                    same = [None if g is None else codec.round_trips(t) for g, t in zip(got, texts[lo:hi], strict=True)]
                     cols = [n, pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
                 else:
                     sizes = np.array([0] + [0 if g is None else len(g) for g in got], np.int64).cumsum().astype(np.int32)
