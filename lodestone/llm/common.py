@@ -67,7 +67,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces_of(texts: list, most_chars: int = 2_000_000):
+def pieces_of(texts: list, most_chars: int = 1_000_000):
     """Slices of a list of texts with about most_chars characters each, so that numpy's working memory stays bounded."""
     start, held = 0, 0
     for i, t in enumerate(texts):

@@ -9,14 +9,18 @@ about 1e-9.
 Documents with equal sets form a class, and one member stands for it. Within
 buckets, all pairs are never made:
 
-1. every member is compared with one member of smaller id, the one at the head
-   of most of the buckets that the two share;
+1. each bucket is headed by the member with the most company in all its
+   buckets (of a group of copies, one close to the original), and every member
+   is compared with one other, the head of most of its buckets;
 2. components of the confirmed links are found, and where a bucket still spans
    several components, the members outside its largest one are compared with
-   those of other components. Members that are connected already need no test.
+   those of other components, if their sets can reach the similarity at all: a
+   shingle that no other document of such buckets has is in no intersection,
+   which bounds the similarity exactly. Connected members need no test.
 
-Confirmation compares whole sets of shingle hashes; the members to compare with
-a document come to it in groups of at most ``group``.
+Confirmation compares whole sets of shingle hashes in blocks of about ``group``
+documents (two such tiles in the second round), so that a large group is as many
+tasks as it needs.
 
 Components come from alternating star contraction over tables, so neither
 links nor components reach the driver.
@@ -74,7 +78,7 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in pieces_of(texts, 3_000_000):
+            for lo, hi in pieces_of(texts):
                 words, per_text, *_ = word_hashes(texts[lo:hi], lower=True)
                 shingles, count = shingle_hashes(words, per_text, config.words)
                 size, one, two = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
@@ -94,35 +98,113 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
 
 
+def _sets(raw: list[bytes | None], config: MinHashConfig) -> list[np.ndarray]:
+    """Sorted shingle hashes of each text."""
+    out: list[np.ndarray] = []
+    for lo, hi in pieces_of(raw):
+        words, per_text, *_ = word_hashes(raw[lo:hi], lower=True)
+        shingles, count = shingle_hashes(words, per_text, config.words)
+        at = np.cumsum(count) - count
+        out += [np.unique(shingles[a : a + c]) for a, c in zip(at, count, strict=True)]
+    return out
+
+
+def _alike(s: np.ndarray, t: np.ndarray, config: MinHashConfig) -> bool:
+    if 100 * min(len(s), len(t)) < config.percent * max(len(s), len(t)):
+        return False
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return common > 0 and 100 * common >= config.percent * (len(s) + len(t) - common)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, config: MinHashConfig) -> DataFrame:
-    """Those (x, p) pairs whose whole sets reach the similarity. ``texts`` has id and text."""
-    load = pairs.groupBy("p").agg(F.count("*").alias("load"))
-    heads = load.withColumn("part", F.explode(F.expr(f"sequence(0, (load - 1) div {config.group})")))
-    parts = F.pmod(F.xxhash64("x"), F.expr(f"(load - 1) div {config.group} + 1"))
-    dealt = pairs.join(load, "p").select("p", "x", parts.alias("part"))
+    """Those (x, p) pairs whose whole sets reach the similarity. ``texts`` has id and text.
+
+    The members to compare with a document come to it in groups of about ``group``.
+    """
+    load = pairs.groupBy("p").agg(F.expr(f"(count(*) - 1) div {config.group} + 1").alias("parts"))
+    dealt = pairs.join(load, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
+    heads = load.select("p", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     sides = texts.withColumnRenamed("id", "x").join(dealt, "x").select("p", "part", "x", "text")
-    tops = texts.withColumnRenamed("id", "p").join(heads.select("p", "part"), "p").select("p", "part", F.lit(None).cast("long").alias("x"), "text")
+    tops = texts.withColumnRenamed("id", "p").join(heads, "p").select("p", "part", F.lit(None).cast("long").alias("x"), "text")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, raw = rows.column("x").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()
-        words, per_text, *_ = word_hashes(raw, lower=True)
-        shingles, count = shingle_hashes(words, per_text, config.words)
-        at = np.cumsum(count) - count
-        sets = [np.unique(shingles[a : a + c]) for a, c in zip(at, count, strict=True)]
-        heads = [s for i, s in zip(ids, sets, strict=True) if i is None]
-        found = set()
-        for i, s in zip(ids, sets, strict=True):
-            if i is not None and i not in found:
-                for h in heads:
-                    common = len(np.intersect1d(s, h, assume_unique=True))
-                    if common and 100 * common >= config.percent * (len(s) + len(h) - common):
-                        found.add(i)
-        x = sorted(found)
-        return pa.table([pa.array(x, pa.int64()), pa.array([key[0].as_py()] * len(x), pa.int64())], names=["x", "p"])
+        x = rows.column("x").to_pylist()
+        sets = _sets(rows.column("text").cast(pa.binary()).to_pylist(), config)
+        tops = [s for i, s in zip(x, sets, strict=True) if i is None]
+        # Rows that share an id are one document, so any of its texts may link.
+        found = sorted({i for i, s in zip(x, sets, strict=True) if i is not None and any(_alike(s, t, config) for t in tops)})
+        return pa.table([pa.array(found, pa.int64()), pa.array([key[0].as_py()] * len(found), pa.int64())], names=["x", "p"])
 
     return sides.unionByName(tops).groupBy("p", "part").applyInArrow(compare, "x long, p long")
 
 
+def crossing_links(open_: DataFrame, texts: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Links between documents of different components that share an open bucket.
+
+    ``open_`` has key, x, component, main, tile, n and rest. Tiles, not pairs,
+    meet on the bucket: one with a member outside the bucket's largest component
+    meets every tile of the bucket. A block of two tiles then compares its
+    documents of different components, so a text goes to one block per tile of
+    its group. One link between two components is enough, and ``rest`` bounds
+    what a pair can reach.
+    """
+    tiles = open_.groupBy("key", "tile").agg(
+        F.max(F.col("component") != F.col("main")).alias("minor"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    a, b = tiles.where("minor").alias("a"), tiles.alias("b")
+    differ = (F.col("a.low") != F.col("b.low")) | (F.col("a.high") != F.col("b.high")) | (F.col("a.low") != F.col("a.high"))
+    blocks = a.join(b, (F.col("a.key") == F.col("b.key")) & differ).select(F.least("a.tile", "b.tile").alias("b1"), F.greatest("a.tile", "b.tile").alias("b2")).distinct()
+    blocks = saved(blocks, "blocks")
+    needed = blocks.withColumn("tile", F.explode(F.array_distinct(F.array("b1", "b2"))))
+    members = saved(open_.select("tile", "x", "component", "n", "rest").distinct(), "tiled")
+    rows = members.join(needed, "tile").join(texts.withColumnRenamed("id", "x"), "x").select("b1", "b2", "x", "component", "n", "rest", "text")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        x, comp, n, rest = (rows.column(c).to_numpy() for c in ("x", "component", "n", "rest"))
+        sets = _sets(rows.column("text").cast(pa.binary()).to_pylist(), config)
+        most = np.minimum(rest[:, None], rest[None])
+        could = (comp[:, None] != comp[None]) & (100 * most >= config.percent * (n[:, None] + n[None] - most))
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(could)), strict=True):
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p != q and _alike(sets[i], sets[j], config):
+                joined[max(p, q)] = min(p, q)
+                found.append((int(x[i]), int(x[j])))
+        return pa.table([pa.array([v for v, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["x", "p"])
+
+    return rows.groupBy("b1", "b2").applyInArrow(compare, "x long, p long")
+
+
+def tiled(kin: DataFrame, config: MinHashConfig) -> DataFrame:
+    """x and tile: documents with one head (``kin``) in tiles of about a group."""
+    load = kin.groupBy("kin").agg(F.expr(f"(count(*) - 1) div {config.group} + 1").alias("parts"))
+    return kin.join(load, "kin").select("x", F.xxhash64("kin", F.pmod(F.xxhash64("x"), F.col("parts"))).alias("tile"))
+
+
+def own_shingles(texts: DataFrame, config: MinHashConfig) -> DataFrame:
+    """x and ``own``, the number of its shingles that no other of the texts (id, text) has."""
+
+    def run(batches):
+        for b in batches:
+            raw = b.column("text").cast(pa.binary()).to_pylist()
+            for lo, hi in pieces_of(raw):
+                words, per_text, *_ = word_hashes(raw[lo:hi], lower=True)
+                shingles, count = shingle_hashes(words, per_text, config.words)
+                row = pa.array(np.repeat(np.arange(lo, hi), count))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(row), pa.array(shingles.view(np.int64))], names=["x", "shingle"])
+
+    found = texts.select("id", "text").mapInArrow(run, "x long, shingle long")
+    held = found.groupBy("shingle").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x = y")
+    return held.groupBy("x").agg(F.count("*").alias("own"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node with a link (x, p), by alternating star contraction."""
     edges = saved(links.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).where("u <> v").distinct(), "links")
@@ -153,11 +235,13 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     # A key is eight bytes of the binary, read as a signed number.
     slots = F.explode(F.expr(f"transform(sequence(0, {config.bands - 1}), i -> cast(conv(hex(substring(keys, i * 8 + 1, 8)), 16, -10) as bigint))"))
     members = sketches.join(stands, ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), slots.alias("key"))
-    heads = members.groupBy("key").agg(F.min("x").alias("head"), F.max("x").alias("tail")).where("head < tail").select("key", "head")
-    members = saved(members.join(saved(heads, "heads"), "key"), "members")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = saved(members.join(saved(shared, "shared"), "key"), "members")
 
-    votes = members.where("x <> head").groupBy("x", "head").agg(F.count("*").alias("shared"))
-    first = votes.groupBy("x").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("p"))
+    company = members.groupBy("x").agg(F.sum("size").alias("company"))
+    heads = members.join(company, "x").groupBy("key").agg(F.max_by(F.struct(F.col("x").alias("head"), "company"), F.struct("company", -F.col("x"))).alias("h"))
+    votes = members.join(heads, "key").where("x <> h.head").groupBy("x", "h").agg(F.count("*").alias("votes"))
+    first = votes.groupBy("x").agg(F.max_by("h.head", F.struct("votes", "h.company", -F.col("h.head"))).alias("p"))
     first = saved(first, "first")
     involved = members.select(F.col("x").alias("doc_id")).distinct()
     texts = saved(docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
@@ -169,13 +253,12 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     parts = at.groupBy("key", "component").agg(F.count("*").alias("c"))
     parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = saved(at.join(parts.select("key", "main"), "key"), "open")
-    a, b = open_.where("component <> main").alias("a"), open_.alias("b")
-    near = (F.col("a.component") != F.col("b.component")) & (
-        100 * F.least("a.n", "b.n") >= config.percent * F.greatest("a.n", "b.n")
-    )
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.greatest("a.x", "b.x").alias("x"), F.least("a.x", "b.x").alias("p")).distinct()
-    pairs = saved(pairs.join(first, ["x", "p"], "left_anti"), "pairs")
-    links = links.unionByName(saved(confirmed(pairs, texts, config), "links2"))
+    reach = saved(own_shingles(texts.join(open_.select(F.col("x").alias("id")).distinct(), "id", "left_semi"), config), "own")
+    # What others can have of a document's set: shingles of its own are in no intersection.
+    kin = open_.select("x").distinct().join(first, "x", "left").select("x", F.coalesce("p", "x").alias("kin"))
+    tiles = saved(tiled(saved(kin, "kin"), config), "tiles")
+    open_ = open_.join(reach, "x", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(tiles, "x")
+    links = links.unionByName(saved(crossing_links(saved(open_, "bounded"), texts, config), "links2"))
     final = saved(components(links), "components")
     found = sketches.join(classes, same, "left").drop("f1", "f2", "keys")
     found = found.join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
