@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import saved
+
 _MULT = np.uint32(0x9E3779B1)
 
 
@@ -33,7 +35,7 @@ _MULT = np.uint32(0x9E3779B1)
 class ToxicityConfig:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
-    sample: int = 2000
+    sample: int = 1200
     features: int = 20_000
     least_docs: int = 4
     alpha: float = 1.0
@@ -68,37 +70,34 @@ def distinct_buckets(text: str | None, config: ToxicityConfig) -> np.ndarray:
     return np.unique(gram_buckets(text, config))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], config: ToxicityConfig) -> Model:
-    """Fit on (distinct buckets, label) rows."""
-    size = 1 << config.bits
-    y = np.array([r[1] for r in rows], np.float64)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        share = (n1 + 1e-3) / (n1 + n0 + 2) if n1 else 0.0
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))) if share else -np.inf)
-    count = {c: np.zeros(size) for c in (0, 1)}
-    for buckets, label in rows:
-        count[label][buckets] += 1
-    p, q = (count[1] + config.alpha) / (n1 + 2 * config.alpha), (count[0] + config.alpha) / (n0 + 2 * config.alpha)
-    ratio = np.log(p / q)
+def chosen_features(count: np.ndarray, n: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Kept buckets and their log-count ratios, from document frequencies by class (2, buckets) and documents by class."""
+    p, q = (count[1] + config.alpha) / (n[1] + 2 * config.alpha), (count[0] + config.alpha) / (n[0] + 2 * config.alpha)
     # Clearness: the difference of the shares in units of its standard error.
-    pooled = (count[1] + count[0] + 1) / (n1 + n0 + 2)
-    z = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    pooled = (count[1] + count[0] + 1) / (n[1] + n[0] + 2)
+    z = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n[1] + 1 / n[0]))
     z[count[1] + count[0] < config.least_docs] = 0
     kept = np.sort(np.argsort(-z, kind="stable")[: config.features])
     kept = kept[z[kept] > 0]
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-    columns = [place[b] for b, _ in rows]
-    columns = [c[c >= 0] for c in columns]
-    at = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
+    return kept, np.log(p / q)[kept]
+
+
+def constant_model(n: np.ndarray, config: ToxicityConfig) -> Model:
+    """Without rows of one class there are no features, and the score is the smoothed share of label 1."""
+    share = (n[1] + 1e-3) / (n[1] + n[0] + 2) if n[1] else 0.0
+    return Model(np.zeros(1 << config.bits, np.float32), float(np.log(share / (1 - share))) if share else -np.inf)
+
+
+def trained(columns: list[np.ndarray], y: np.ndarray, kept: np.ndarray, scale: np.ndarray, config: ToxicityConfig) -> Model:
+    """Logistic regression on the kept features of each row, scaled by their ratios."""
+    at = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
     col = np.concatenate(columns)
-    scale = ratio[kept]
     w, b = np.zeros(len(kept)), 0.0
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    balance = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
+    n1 = y.sum()
+    balance = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * (len(y) - n1)))
     for t in range(1, config.steps + 1):  # Adam on the whole sample
-        margin = b + np.bincount(at, (w * scale)[col], minlength=len(rows))
+        margin = b + np.bincount(at, (w * scale)[col], minlength=len(y))
         err = balance * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
         g = np.bincount(col, err[at], minlength=len(kept)) * scale + config.l2 * w / len(y)
         gb = err.sum()
@@ -107,7 +106,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], config: ToxicityConfig) -> Mode
         fix1, fix2 = 1 - 0.9**t, 1 - 0.99**t
         w = w - 0.05 * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
         b = b - 0.05 * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(1 << config.bits, np.float32)
     weights[kept] = w * scale
     return Model(weights, float(b))
 
@@ -123,8 +122,8 @@ def score_text(text: str | None, model: Model, config: ToxicityConfig) -> float:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfig = ToxicityConfig()) -> Model:
     """Train on documents (doc_id, text) joined to labels (doc_id, toxic) where ``learn`` (of doc_id) holds.
 
-    The ids are chosen on the narrow labels table; at most 2 * sample ids and
-    their distinct buckets reach the driver.
+    The ids are chosen on the narrow labels table; at most 2 * sample rows of
+    kept features reach the driver.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -132,15 +131,40 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows of two numbers
     texts = docs.join(chosen, "doc_id").select("toxic", "text")
 
-    def run(batches):
+    def hashed(batches):
         for b in batches:
             rows = [distinct_buckets(t.as_py(), config).astype(np.uint32).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["toxic", "buckets"])
 
-    # Repeated document rows could exceed the bound, so it is held here too.
-    got = texts.mapInArrow(run, "toxic int, buckets binary").limit(2 * config.sample).collect()
-    got = sorted((r["toxic"], bytes(r["buckets"])) for r in got)
-    return fit_rows([(np.frombuffer(b, np.uint32), y) for y, b in got], config)
+    def counted(batches):
+        count, n = np.zeros((2, 1 << config.bits), np.int32), np.zeros(2, np.int64)
+        for b in batches:
+            for y, g in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                count[y][np.frombuffer(g.as_buffer(), np.uint32)] += 1
+                n[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["count", "n"])
+
+    # Repeated document rows could exceed the bound, so it is held here too. The buckets stay on the executors: the driver
+    # gets class counts of a few parts, and then the kept features of each row.
+    sample = saved(texts.mapInArrow(hashed, "toxic int, buckets binary").limit(2 * config.sample), "sample")
+    count, n = np.zeros((2, 1 << config.bits), np.int64), np.zeros(2, np.int64)
+    for r in sample.coalesce(4).mapInArrow(counted, "count binary, n binary").toLocalIterator():
+        count += np.frombuffer(r["count"], np.int32).reshape(count.shape)
+        n += np.frombuffer(r["n"], np.int64)
+    if not n.all():
+        return constant_model(n, config)
+    kept, scale = chosen_features(count, n, config)
+    place = np.full(1 << config.bits, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast(place)  # 2**bits numbers
+
+    def kept_only(batches):
+        for b in batches:
+            rows = [place_of[place_of >= 0].tobytes() for g in b.column(1) for place_of in [shared.value[np.frombuffer(g.as_buffer(), np.uint32)]]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["toxic", "kept"])
+
+    got = sorted((r["toxic"], bytes(r["kept"])) for r in sample.mapInArrow(kept_only, "toxic int, kept binary").collect())
+    return trained([np.frombuffer(c, np.int32) for _, c in got], np.array([y for y, _ in got], np.float64), kept, scale, config)
 
 
 def score(docs: DataFrame, model: Model, config: ToxicityConfig = ToxicityConfig(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
