@@ -221,7 +221,10 @@ def flag_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), keep: t
                 yield pa.RecordBatch.from_arrays([*cols, pa.array((w - p.first[row]).astype(np.int32))], names=["words", "name", "id", "th", "w"])
 
     windows = open_.mapInArrow(name_windows, "words long, name long, id long, th int, w int")
-    repeated = windows.groupBy("words", "name").agg(F.count("*").alias("n")).where("n > 1").select("words", "name")
+    # Counted under one more key, so that the join deals both sides anew and adaptive execution can split a passage that a
+    # third of the documents share.
+    counted = windows.groupBy(F.xxhash64("words", "name").alias("k"), "words", "name").agg(F.count("*").alias("n"))
+    repeated = counted.where("n > 1").select("words", "name")
     single = windows.join(repeated, ["words", "name"]).groupBy("id", "th").agg(F.collect_set("w").alias("single"))
     out = dealt.join(hits.select("id", "th", "whole").hint("shuffle_hash"), ["id", "th"], "left").join(single.hint("shuffle_hash"), ["id", "th"], "left")
     return out.select("doc_id", "text", "rest", "whole", "single", "id", "th")
