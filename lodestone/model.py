@@ -1,7 +1,7 @@
 """Point-set views of the driver tables, and the schemas of the data model.
 
 Points are flat columns, so that scans prune columns and use min/max
-statistics. A missing value is NULL inside; sentinels are converted at sources
+statistics. Schemas are DDL texts, which every reader takes. A missing value is NULL inside; sentinels are converted at sources
 and sinks only.
 """
 
@@ -13,24 +13,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SURFEL = T.StructType.fromDDL(
+SURFEL = (
     "pid long, x double, y double, z double, r short, g short, b short, a short, radius double, nx double, ny double, nz double"
 )
-NODE = T.StructType.fromDDL(
+NODE = (
     "node_id long, depth int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, "
     "cx double, cy double, cz double, avg_radius double, max_radius_dev double, reduction_error double, n long"
 )
-PROV = T.StructType.fromDDL("pid long, mad float, sd float, cv float, values array<float>")
-DENSE = T.StructType.fromDDL("pid long, x float, y float, z float, r float, g float, b float, nx float, ny float, nz float")
-DENSE_META = T.StructType.fromDDL("pid long, ncc float, seen array<int>, not_seen array<int>")
-SPARSE = T.StructType.fromDDL(
+PROV = ("pid long, mad float, sd float, cv float, values array<float>")
+DENSE = ("pid long, x float, y float, z float, r float, g float, b float, nx float, ny float, nz float")
+DENSE_META = ("pid long, ncc float, seen array<int>, not_seen array<int>")
+SPARSE = (
     "idx long, x float, y float, z float, r float, g float, b float, measurements array<struct<camera:int,u:float,v:float>>"
 )
-CAMERA = T.StructType.fromDDL("camera int, focal float, qw float, qx float, qy float, qz float, cx float, cy float, cz float, path string")
-VISIBILITY = T.StructType.fromDDL("cell_id long, model_id int, node_id long")
+CAMERA = ("camera int, focal float, qw float, qx float, qy float, qz float, cx float, cy float, cz float, path string")
+VISIBILITY = ("cell_id long, model_id int, node_id long")
 FEM_ATTRIBUTES = ("u_x", "u_y", "u_z", "mag_u", "sig_xx", "tau_xy", "tau_xz", "tau_abs", "sig_v", "eps_x")
 INVALID_NODE = 4294967295
 

@@ -11,12 +11,19 @@ from lodestone.model import PARTS_SQL, SURFELS_SQL, orders_cloud, parts, read, r
 from lodestone.operators import partition
 from lodestone.plans.registry import query
 
-P, N = geo.vec("x", "y", "z"), geo.vec("nx", "ny", "nz")
 #: A rotation by the 3-4-5 triangle with a translation: the frame change of the affine queries.
 FRAME = [[0.6, -0.8, 0.0, 1.5], [0.8, 0.6, 0.0, -2.0], [0.0, 0.0, 1.0, 0.25]]
 LOW, HIGH = (5.0, 5.0, 5.0), (30.0, 30.0, 40.0)
 
 
+def pos() -> geo.Vec:
+    return geo.vec("x", "y", "z")
+
+
+def nor() -> geo.Vec:
+    return geo.vec("nx", "ny", "nz")
+
+
 def lits(v: tuple[float, ...]) -> geo.Vec:
     return tuple(F.lit(c) for c in v)
 
@@ -70,7 +77,7 @@ def normal_color(spark, d) -> DataFrame:
     round(0.0 * x + 0.0 * y + 1.0 * z + 0.25, 7) + 0.0 AS z FROM surfels"""),
 )
 def affine(spark, d) -> DataFrame:
-    moved = geo.affine(FRAME, P)
+    moved = geo.affine(FRAME, pos())
     return rounded(surfels(spark, d).select("pid", *(m.alias(c) for m, c in zip(moved, geo.AXES, strict=True))), 7)
 
 
@@ -152,7 +159,7 @@ def quantize(spark, d) -> DataFrame:
     SELECT pid, CAST(face * 10920 + round((v + 1.0) / 2.0 * 104) * 104 + round((u + 1.0) / 2.0 * 103) AS INTEGER) AS code FROM q"""),
 )
 def quantize_normal(spark, d) -> DataFrame:
-    return surfels(spark, d).select("pid", color.quantize_normal(*N).alias("code"))
+    return surfels(spark, d).select("pid", color.quantize_normal(*nor()).alias("code"))
 
 
 @query(
@@ -163,7 +170,7 @@ def quantize_normal(spark, d) -> DataFrame:
       round((u + v) / 2.0 / sqrt((u + v) / 2.0 * (u + v) / 2.0 + (u - v) / 2.0 * (u - v) / 2.0 + pow(1.0 - abs((u + v) / 2.0) - abs((u - v) / 2.0), 2)), 7) + 0.0 AS nx FROM h"""),
 )
 def hemi_oct(spark, d) -> DataFrame:
-    u, v = color.hemi_oct(*N)
+    u, v = color.hemi_oct(*nor())
     at = surfels(spark, d).select("pid", u.alias("u"), v.alias("v"))
     return rounded(at.withColumn("nx", color.hemi_oct_decoded(F.col("u"), F.col("v"))[0]), 7)
 
@@ -212,8 +219,8 @@ def quad_neighbor(spark, d) -> DataFrame:
 )
 def plane(spark, d) -> DataFrame:
     origin, normal = lits((10.0, 10.0, 10.0)), lits((0.0, 0.6, 0.8))
-    u, v = geo.project_to_plane(P, origin, normal)
-    return rounded(surfels(spark, d).select("pid", geo.plane_distance(P, origin, normal).alias("distance"), u.alias("u"), v.alias("v")), 7)
+    u, v = geo.project_to_plane(pos(), origin, normal)
+    return rounded(surfels(spark, d).select("pid", geo.plane_distance(pos(), origin, normal).alias("distance"), u.alias("u"), v.alias("v")), 7)
 
 
 @query(
@@ -265,7 +272,7 @@ def pixel_formats(spark, d) -> DataFrame:
     s("SELECT pid, x, y, z, radius FROM surfels WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND NOT (x = 0 AND y = 0 AND z = 0) AND radius > 0 AND r < 200"),
 )
 def filters(spark, d) -> DataFrame:
-    keep = geo.finite(*P) & ~geo.every(*(c == 0 for c in P)) & (F.col("radius") > 0) & (F.col("r") < 200)
+    keep = geo.finite(*pos()) & ~geo.every(*(c == 0 for c in pos())) & (F.col("radius") > 0) & (F.col("r") < 200)
     return surfels(spark, d).where(keep).select("pid", *geo.AXES, "radius")
 
 
@@ -290,11 +297,11 @@ def radius_outliers(spark, d) -> DataFrame:
 )
 def containment(spark, d) -> DataFrame:
     low, high, r = lits(LOW), lits(HIGH), F.col("radius")
-    low2, high2 = tuple(c - r for c in P), tuple(c + r for c in P)
+    low2, high2 = tuple(c - r for c in pos()), tuple(c + r for c in pos())
     return surfels(spark, d).select(
-        "pid", geo.box_contains_point(low, high, P).alias("in_box"), geo.box_contains_sphere(low, high, P, r).alias("box_holds_sphere"),
-        geo.boxes_intersect(low2, high2, low, high).alias("boxes_meet"), geo.sphere_intersects_box(P, r, low, high).alias("sphere_meets_box"),
-        geo.sphere_contains_point(lits((20.0, 20.0, 20.0)), F.lit(15.0), P).alias("in_sphere"),
+        "pid", geo.box_contains_point(low, high, pos()).alias("in_box"), geo.box_contains_sphere(low, high, pos(), r).alias("box_holds_sphere"),
+        geo.boxes_intersect(low2, high2, low, high).alias("boxes_meet"), geo.sphere_intersects_box(pos(), r, low, high).alias("sphere_meets_box"),
+        geo.sphere_contains_point(lits((20.0, 20.0, 20.0)), F.lit(15.0), pos()).alias("in_sphere"),
     )
 
 
@@ -304,7 +311,7 @@ def containment(spark, d) -> DataFrame:
       x + abs(radius - radius * nx * nx) AS max_x, y + abs(radius - radius * ny * ny) AS max_y, z + abs(radius - radius * nz * nz) AS max_z FROM surfels"""),
 )
 def disk_box(spark, d) -> DataFrame:
-    low, high = geo.disk_box(P, N, F.col("radius"))
+    low, high = geo.disk_box(pos(), nor(), F.col("radius"))
     return surfels(spark, d).select("pid", *(v.alias(f"min_{c}") for v, c in zip(low, geo.AXES, strict=True)), *(v.alias(f"max_{c}") for v, c in zip(high, geo.AXES, strict=True)))
 
 
@@ -316,7 +323,7 @@ def disk_box(spark, d) -> DataFrame:
 def frustum(spark, d) -> DataFrame:
     r = F.col("radius")
     planes = [(0.8, 0.0, 0.6, -40.0), (-0.8, 0.0, 0.6, 30.0), (0.0, 1.0, 0.0, -48.0)]
-    return parts(spark, d).where(geo.in_frustum(tuple(c - r for c in P), tuple(c + r for c in P), planes)).select("pid")
+    return parts(spark, d).where(geo.in_frustum(tuple(c - r for c in pos()), tuple(c + r for c in pos()), planes)).select("pid")
 
 
 @query(
