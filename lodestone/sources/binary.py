@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 # Record layouts.
 XYZ_BIN = [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("a", "u1"), ("radius", "<f4"), ("nx", "<f4"), ("ny", "<f4"), ("nz", "<f4")]
 DENSE = [("x", ">f4"), ("y", ">f4"), ("z", ">f4"), ("r", ">f4"), ("g", ">f4"), ("b", ">f4"), ("nx", ">f4"), ("ny", ">f4"), ("nz", ">f4")]
-SEGMENT = struct.Struct("<8sQQQ")  # name, allocated size, used size, padding of node file segments
 
 _SQL = {"f": "double", "u": "int", "i": "long"}
 
@@ -131,7 +130,7 @@ def dense_with_meta(points: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 _MEASURE = np.dtype([("camera", ">u2"), ("u", ">f4"), ("v", ">f4")])
-_CAMERA = struct.Struct(">H8f")  # index, focal length, quaternion w x y z, centre
+_CAMERA = ">H8f"  # index, focal length, quaternion w x y z, centre
 
 
 def _sparse_parts(content: bytes):
@@ -147,7 +146,7 @@ def _sparse_parts(content: bytes):
     (k, _, length), at = struct.unpack_from(">HIH", body, at), at + 8
     cameras = []
     for _ in range(k):
-        values, at = _CAMERA.unpack_from(body, at), at + _CAMERA.size
+        values, at = struct.unpack_from(_CAMERA, body, at), at + struct.calcsize(_CAMERA)
         cameras.append((*values, body[at : at + length].decode().strip()))
         at += length
     return points, cameras
@@ -170,7 +169,7 @@ def write_sparse(points: list[tuple], cameras: list[tuple]) -> bytes:
         out.append(struct.pack(">I6fH", *values, len(ms)) + b"".join(struct.pack(">Hff", *m) for m in ms))
     length = max((len(c[-1].encode()) for c in cameras), default=0)
     out.append(struct.pack(">HIH", len(cameras), 0, length))
-    out += [_CAMERA.pack(*c[:-1]) + c[-1].encode().ljust(length) for c in cameras]
+    out += [struct.pack(_CAMERA, *c[:-1]) + c[-1].encode().ljust(length) for c in cameras]
     return framed(b"".join(out))
 
 

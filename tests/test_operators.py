@@ -166,7 +166,7 @@ def test_cut_scheduler(spark):
     error = {n: 8.0 / (n + 1) for n in range(7)}
     assert update_cut(cut, error, 2, 2.5, 8) == [(0, "split")] and cut == {1, 2}
     update_cut(cut, error, 2, 2.5, 8)
-    assert cut == {2, 3, 4}
+    assert cut == {3, 4, 5, 6}  # errors 4 and 8 / 3 are both above the threshold and its hysteresis
     update_cut(cut, {n: 0.1 for n in range(7)}, 2, 2.5, 8)
     assert 1 in cut
     rows = [(0, f, n, 8.0 / (n + 1)) for f in range(3) for n in range(7)]
