@@ -10,7 +10,8 @@ the one with the largest expected number of words.
 
 Training sees only the language of a whole document. It treats the word labels
 as hidden: the gradient is the difference of the expected counts with a bonus
-for the document's language and without it, both by forward-backward.
+for the document's language and without it, both by forward-backward. All words
+of a training text count; one longer than a batch of the fit is learned in pieces.
 
 Forward-backward runs over many texts laid end to end. The chain is cut into
 rows of fixed length that are processed side by side: each row first gives its
@@ -27,18 +28,27 @@ Repeated rows get a row each, an empty table an empty result.
 
 from __future__ import annotations
 
+import pickle
+import re
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces_of
+from lodestone.llm.common import pieces_of, saved
 
 _MULT = np.uint32(0x9E3779B1)
 #: Words in a row of the chain, and steps between rescalings of its sweeps.
 ROW, RESCALE = 128, 8
+#: A batch of the fit has at most about so many characters for each of its words.
+CHARS = 8
+#: Characters that are certainly no letters.
+_BREAK = re.compile(r"[\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -46,7 +56,6 @@ class LangConfig:
     orders: tuple[int, ...] = (2, 3, 4)
     bits: int = 17
     sample: int = 2000
-    sample_words: int = 200
     most_languages: int = 64
     passes: int = 6
     batch_words: int = 40_000
@@ -181,45 +190,63 @@ def marginals(scores: np.ndarray, fresh: np.ndarray, transition: np.ndarray, cou
     return post.reshape(-1, k)[:n], counts
 
 
-def fit_texts(rows: list[tuple[str, str]], config: LangConfig) -> Model:
-    """Fit on (text, language) rows."""
-    languages = sorted({lang for _, lang in rows})[: config.most_languages]
+def text_pieces(text: str, most: int) -> list[str]:
+    """A text in pieces of about ``most`` characters that end at a character that is no letter, so every word stays whole."""
+    out, at = [], 0
+    while len(text) - at > most and (m := _BREAK.search(text, at + most)):
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def _batches(rows: Iterable[tuple[str, str]], known: dict[str, int], config: LangConfig) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+    """Features, the text of each word and the texts' languages, of about ``batch_words`` words at a time."""
+    texts, labels, held = [], [], 0
+    for text, lang in chain(rows, [(None, None)]):
+        if text is not None and lang in known:
+            texts.append(text)
+            labels.append(known[lang])
+            held += max(len(text.split()), len(text) // CHARS)
+        if texts and (text is None or held >= config.batch_words):
+            features, text_of = words_of(texts, config)
+            if len(text_of):
+                yield features, text_of, np.array(labels)
+            texts, labels, held = [], [], 0
+
+
+def fit_texts(rows: Iterable[tuple[str, str]], languages: list[str], config: LangConfig) -> Model:
+    """Fit on (text, language) rows in the order given. Rows are read once; the batches' features wait in a file of the driver."""
+    languages = sorted(languages)[: config.most_languages]
     known = {lang: i for i, lang in enumerate(languages)}
-    rows = [(t, lang) for t, lang in rows if lang in known]
     k, size = len(languages), 1 << config.bits
     emission, transition = np.zeros((size, k)), np.eye(k) * 1.0
     squares, t_squares = np.full((size, k), 1e-6), np.full((k, k), 1.0)
-    order = np.random.default_rng(7).permutation(len(rows))
-    batches, held = [[]], 0
-    for i in order:
-        batches[-1].append(i)
-        held += min(len(rows[i][0].split()), config.sample_words)
-        if held >= config.batch_words:
-            batches.append([])
-            held = 0
-    ready = []
-    for ids in batches:
-        if ids:
-            features, text_of = words_of([" ".join(rows[i][0].split()[: config.sample_words]) for i in ids], config)
-            if len(text_of):
-                ready.append((features, text_of, np.array([known[rows[i][1]] for i in ids])))
-    for _ in range(config.passes if k > 1 else 0):
-        for features, text_of, label in ready:
-            n = len(text_of)
-            scores = word_scores(features, emission)
-            fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
-            free, free_counts = marginals(scores, fresh, transition, counted=True)
-            scores[np.arange(n), label[text_of]] += config.bonus
-            tied, tied_counts = marginals(scores, fresh, transition, counted=True)
-            gap = tied - free
-            buckets = np.concatenate([x for x, _ in features])
-            for c in range(k):  # AdaGrad on the features of the batch
-                g = np.bincount(buckets, np.concatenate([np.repeat(gap[:, c], count) for _, count in features]), minlength=size)
-                squares[:, c] += g * g
-                emission[:, c] += config.rate * g / np.sqrt(squares[:, c])
-            g = tied_counts - free_counts
-            t_squares += g * g
-            transition += config.rate * g / np.sqrt(t_squares)
+    if k < 2:
+        return Model(languages, emission.astype(np.float32), transition)
+    with tempfile.TemporaryFile() as ready:
+        n_batches = 0
+        for batch in _batches(rows, known, config):
+            pickle.dump(batch, ready, protocol=5)
+            n_batches += 1
+        for _ in range(config.passes):
+            ready.seek(0)
+            for _ in range(n_batches):
+                features, text_of, label = pickle.load(ready)
+                n = len(text_of)
+                scores = word_scores(features, emission)
+                fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
+                free, free_counts = marginals(scores, fresh, transition, counted=True)
+                scores[np.arange(n), label[text_of]] += config.bonus
+                tied, tied_counts = marginals(scores, fresh, transition, counted=True)
+                gap = tied - free
+                buckets = np.concatenate([x for x, _ in features])
+                for c in range(k):  # AdaGrad on the features of the batch
+                    g = np.bincount(buckets, np.concatenate([np.repeat(gap[:, c], count) for _, count in features]), minlength=size)
+                    squares[:, c] += g * g
+                    emission[:, c] += config.rate * g / np.sqrt(squares[:, c])
+                g = tied_counts - free_counts
+                t_squares += g * g
+                transition += config.rate * g / np.sqrt(t_squares)
     return Model(languages, emission.astype(np.float32), transition)
 
 
@@ -253,14 +280,26 @@ def label_words(text: str, model: Model, config: LangConfig = LangConfig()) -> l
 
 
 def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Model:
-    """Train on at most ``sample`` documents (doc_id, text, lang) where ``learn`` holds, those with the smallest id hashes,
-    and of each at most ``sample_words`` words; the ids are chosen on narrow columns."""
+    """Train on the whole texts of at most ``sample`` documents (doc_id, text, lang) where ``learn`` holds, those with the
+    smallest id hashes; the ids are chosen on narrow columns. The driver reads the texts in pieces, one partition at a time."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample)
-    head = F.substr("text", F.lit(1), F.lit(16 * config.sample_words)).alias("text")
-    got = usable.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select(head, "lang")
-    rows = sorted((r["text"], r["lang"]) for r in got.limit(config.sample).collect())
-    return fit_texts(rows, config)
+    got = usable.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    order = F.xxhash64("doc_id", F.lit(7)).alias("order")
+
+    def cut_up(batches):
+        for b in batches:
+            for i, text in enumerate(b.column(1).to_pylist()):
+                row = b.slice(i, 1)
+                for no, piece in enumerate(text_pieces(text, CHARS * config.batch_words)):
+                    cols = [row.column(0), pa.array([no], pa.int32()), pa.array([piece], pa.string()), row.column(2)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["order", "piece", "text", "lang"])
+
+    # Repeated document rows could exceed the bound, so it is held here too.
+    rows = saved(got.select(order, "text", "lang").limit(config.sample).mapInArrow(cut_up, "order long, piece int, text string, lang string"), "training")
+    languages = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    ordered = rows.orderBy("order", "lang", F.xxhash64("text"), "piece").select("text", "lang")
+    return fit_texts(((r["text"], r["lang"]) for r in ordered.toLocalIterator()), languages, config)
 
 
 def predict(docs: DataFrame, model: Model, config: LangConfig = LangConfig(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

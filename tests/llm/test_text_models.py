@@ -80,6 +80,25 @@ def test_languages_without_training(spark):
     assert langid.predict(docs, model).first()["lang_pred"] == "und"
 
 
+def test_languages_learn_whole_texts(spark):
+    rng = random.Random(3)
+    openings = [" " * 4000, "licence terms apply " * 120]
+    rows = []
+    for i in range(150):
+        lang = list(WORDS_OF)[i % 3]
+        rows.append((i, ("" if i % 2 else openings[i // 6 % 2]) + " ".join(rng.choice(WORDS_OF[lang]) for _ in range(40)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") % 2 == 0)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] != lang for i, _, lang in rows if i % 2) <= 2
+
+
+def test_texts_in_pieces():
+    for text in [t for t in ODD if t] + ["ab" * 50 + " cd " * 40]:
+        pieces = langid.text_pieces(text, 16)
+        assert "".join(pieces) == text and " ".join(pieces).split() == text.split()
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     n, k = 300, 3
