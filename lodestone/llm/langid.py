@@ -20,7 +20,8 @@ sweep turns the row's entry vectors into marginals. This is exact, with work in
 proportion to the number of words, however long a text is.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0.
-Documents without a language are labelled but not learned from. With no
+Documents without a language are labelled but not learned from. Every language
+of the training rows is learned. With no
 document to learn from, every text is ``und`` with score 0; with one language,
 all texts with letters are of it. Ties go to the first language by code point.
 Repeated rows get a row each, an empty table an empty result.
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm.common import pieces_of, saved
 
@@ -56,7 +58,7 @@ class LangConfig:
     orders: tuple[int, ...] = (2, 3, 4)
     bits: int = 17
     sample: int = 2000
-    most_languages: int = 64
+    least_rows: int = 500
     passes: int = 6
     batch_words: int = 40_000
     rate: float = 0.3
@@ -216,7 +218,7 @@ def _batches(rows: Iterable[tuple[str, str]], known: dict[str, int], config: Lan
 
 def fit_texts(rows: Iterable[tuple[str, str]], languages: list[str], config: LangConfig) -> Model:
     """Fit on (text, language) rows in the order given. Rows are read once; the batches' features wait in a file of the driver."""
-    languages = sorted(languages)[: config.most_languages]
+    languages = sorted(languages)
     known = {lang: i for i, lang in enumerate(languages)}
     k, size = len(languages), 1 << config.bits
     emission, transition = np.zeros((size, k)), np.eye(k) * 1.0
@@ -253,7 +255,8 @@ def fit_texts(rows: Iterable[tuple[str, str]], languages: list[str], config: Lan
 def label_texts(texts: list[str | None], model: Model, config: LangConfig) -> list[tuple[str, float]]:
     """The language of each text and its expected share of the words."""
     out: list[tuple[str, float]] = []
-    for lo, hi in pieces_of(texts, 1_000_000):
+    # The chains' matrices grow with the languages, so many of them get smaller pieces.
+    for lo, hi in pieces_of(texts, 16_000_000 // max(16, len(model.languages))):
         part = texts[lo:hi]
         features, text_of = words_of(part, config)
         if not len(text_of) or not model.languages:
@@ -280,11 +283,20 @@ def label_words(text: str, model: Model, config: LangConfig = LangConfig()) -> l
 
 
 def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Model:
-    """Train on the whole texts of at most ``sample`` documents (doc_id, text, lang) where ``learn`` holds, those with the
-    smallest id hashes; the ids are chosen on narrow columns. The driver reads the texts in pieces, one partition at a time."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample)
-    got = usable.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    """Train on the whole texts of documents (doc_id, text, lang) where ``learn`` holds: the ``sample`` with the smallest id
+    hashes, and of each language the ``least_rows`` with the smallest, which are all rows of a rare language. The ids are
+    chosen on narrow columns. The driver reads the texts in pieces, one partition at a time."""
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
+    # Ranks in two levels, so that no task meets all rows of a language.
+    parts, whole = Window.partitionBy("lang", F.pmod("h", F.lit(64))), Window.partitionBy("lang")
+    each = ids
+    for w in (parts, whole):
+        each = each.withColumn("rank", F.row_number().over(w.orderBy("h", "doc_id"))).where(F.col("rank") <= config.least_rows).drop("rank")
+    first = ids.orderBy("h", "doc_id", "lang").limit(config.sample)
+    chosen = first.unionByName(each).select("doc_id", "lang").distinct()
+    # A repeated id gives one row of each language.
+    got = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     order = F.xxhash64("doc_id", F.lit(7)).alias("order")
 
     def cut_up(batches):
@@ -295,10 +307,9 @@ def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Mo
                     cols = [row.column(0), pa.array([no], pa.int32()), pa.array([piece], pa.string()), row.column(2)]
                     yield pa.RecordBatch.from_arrays(cols, names=["order", "piece", "text", "lang"])
 
-    # Repeated document rows could exceed the bound, so it is held here too.
-    rows = saved(got.select(order, "text", "lang").limit(config.sample).mapInArrow(cut_up, "order long, piece int, text string, lang string"), "training")
+    rows = saved(got.select(order, "text", "lang").mapInArrow(cut_up, "order long, piece int, text string, lang string"), "training")
     languages = [r["lang"] for r in rows.select("lang").distinct().collect()]
-    ordered = rows.orderBy("order", "lang", F.xxhash64("text"), "piece").select("text", "lang")
+    ordered = rows.orderBy("order", "lang", "piece").select("text", "lang")
     return fit_texts(((r["text"], r["lang"]) for r in ordered.toLocalIterator()), languages, config)
 
 
@@ -306,7 +317,7 @@ def predict(docs: DataFrame, model: Model, config: LangConfig = LangConfig(), te
     """The ``keep`` columns, ``lang_pred`` and ``score`` for every row."""
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
     schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    # 2**bits weights for each of at most most_languages
+    # 2**bits weights for each language
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.emission, model.transition))
 
     def run(batches):

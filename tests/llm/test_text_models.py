@@ -93,6 +93,21 @@ def test_languages_learn_whole_texts(spark):
     assert sum(got[i] != lang for i, _, lang in rows if i % 2) <= 2
 
 
+def test_languages_are_all_learned(spark):
+    # 70 languages of one word each, then one that fills the sample and one of 3 rows.
+    word = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(3)) * 2
+    langs = [f"l{n:02d}" for n in range(70)]
+    rows = [(i, " ".join([word(40 * (i % 70) + 7)] * 8), langs[i % 70]) for i in range(280)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == langs
+    asked = spark.createDataFrame([(n, " ".join([word(40 * n + 7)] * 8)) for n in range(70)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(asked, model).collect()} == dict(enumerate(langs))
+    rare = [(i, "the house with shadow", "en") for i in range(4000)] + [(5000 + i, "das haus mit schatten", "de") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rare, "doc_id long, text string, lang string"), F.lit(True), langid.LangConfig(sample=20, least_rows=10))
+    assert model.languages == ["de", "en"]
+    assert [lang for lang, _ in langid.label_words("das haus", model)] == ["de", "de"]
+
+
 def test_texts_in_pieces():
     for text in [t for t in ODD if t] + ["ab" * 50 + " cd " * 40]:
         pieces = langid.text_pieces(text, 16)
