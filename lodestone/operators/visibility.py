@@ -64,17 +64,19 @@ def inherited(visible: DataFrame, leaves: DataFrame, deepest: int, children: int
     return got.select(*KEY).distinct()
 
 
-def merged_cells(visible: DataFrame, threshold: float, total_nodes: int, rounds: int = 20) -> DataFrame:
+def merged_cells(visible: DataFrame, threshold: float, total_nodes: int) -> DataFrame:
     """Irregular grid: cell -> group, merging the pair of cells with the largest common share first, while it reaches the threshold.
 
     Similarity comes from an equi-join on nodes. A merged group keeps what all
-    of its cells see; each round merges pairs that are each other's best.
+    of its cells see; each round merges pairs that are each other's best, and
+    rounds go on until no pair reaches the threshold. A round with such a pair
+    has a mutual one (the first of all pairs), so it removes a group.
     """
     from lodestone.model import cut
 
     groups = cut(visible.select(F.col("cell_id")).distinct().withColumn("grp", F.col("cell_id")))
     bits = cut(visible.select(F.col("cell_id").alias("grp"), "model_id", "node_id").distinct())
-    for _ in range(rounds):
+    while True:
         a, b = bits.alias("a"), bits.alias("b")
         both = a.join(b, (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.grp") != F.col("b.grp")))
         pairs = both.groupBy(F.col("a.grp").alias("p"), F.col("b.grp").alias("q")).agg(F.count("*").alias("c"))

@@ -101,6 +101,29 @@ def test_irregular_merge_and_polarity(spark):
     assert visibility.unpacked_cells(visibility.packed_cells(v, 2)).count() == len(rows)
 
 
+def greedy_merge(seen, threshold, total):
+    """Merge the first pair by share, then by smaller group numbers, until none reaches the threshold."""
+    sets, group = {c: set(v) for c, v in seen.items()}, {c: c for c in seen}
+    while True:
+        pairs = [((total - len(sets[p]) - len(sets[q]) + 2 * len(sets[p] & sets[q])) / total, -p, -q) for p in sets for q in sets if p < q and sets[p] & sets[q]]
+        best = max(pairs, default=(-1.0, 0, 0))
+        if best[0] < threshold:
+            return group
+        p, q = -best[1], -best[2]
+        sets[p] &= sets.pop(q)
+        group = {c: p if g == q else g for c, g in group.items()}
+
+
+def test_irregular_merge_runs_to_the_end(spark):
+    cells = {c: range(10) for c in range(24)} | {50 + c: range(40, 45 + c) for c in range(4)}
+    rows = [(c, 0, n) for c, nodes in cells.items() for n in nodes]
+    v = spark.createDataFrame(rows, "cell_id long, model_id int, node_id long")
+    for threshold in (0.97, 0.99):
+        got = {r["cell_id"]: r["grp"] for r in visibility.merged_cells(v, threshold, 100).collect()}
+        assert got == greedy_merge(cells, threshold, 100)
+        assert len({got[c] for c in range(24)}) == 1
+
+
 def test_binary_formats_round_trip(spark, tmp_path):
     points = pd.DataFrame({c: np.arange(5, dtype=np.float32) for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")})
     meta, width = binary.write_dense_meta([(0.5, [1, 2], [3]), (0.25, [], []), (1.0, [9], [8, 7]), (0.0, [], [1]), (0.1, [4], [])])
