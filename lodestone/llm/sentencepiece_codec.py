@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,8 @@ class Codec:
         self.ending.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, array] = {}
-        self.broken: set[str] = set()  # words that decoding does not give again
+        # What each id decodes to; None for control pieces.
+        self.raw = [None if k == 3 else " ⁇ ".encode() if k == 2 else bytes([self.byte_of[i]]) if k == 6 else self.text[i].encode() for i, k in enumerate(kind)]
 
     # -- merging, used for pairs, runs of marks and as the plain definition --
 
@@ -190,13 +192,12 @@ class Codec:
         out = [m.split(MARK, 1)[0]] if not head and m else []
         return out + self._runs.findall(m)
 
-    def encode_many(self, texts: list[str | None], check: bool = False) -> list[array | None]:
-        """Ids of each text; with ``check``, words whose ids do not decode to them are noted."""
+    def encode_many(self, texts: list[str | None]) -> list[array | None]:
+        """Ids of each text."""
         split = [self.split(t) if t else [] for t in texts]
         new = {w for s in split for w in s}
         if len(self.words) + len(new) > CACHE:
             self.words.clear()
-            self.broken.clear()
         known = self.words
         new = [w for w in new if w not in known]
         plain = [w for w in new if not (self.bpe and w.startswith(MARK * 2))]
@@ -204,8 +205,6 @@ class Codec:
         for w in new:
             if self.bpe and w.startswith(MARK * 2):
                 known[w] = self.encode_run(w)
-        if check:
-            self.broken.update(w for w in new if self.decode(known[w], whole=False) != w.replace(MARK, " "))
         out: list[array | None] = []
         for t, s in zip(texts, split, strict=True):
             ids = array("i")
@@ -231,28 +230,16 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(self.encode_many([text])[0])
 
-    def round_trips(self, text: str) -> bool:
-        """Does decoding the text's ids give the text? Every word starts with a mark's piece, so words decode one by one."""
-        return not self.broken or self.broken.isdisjoint(self.split(text))
-
-    def decode(self, ids, whole: bool = True) -> str:
-        """The text of ids (or, unless ``whole``, of a word's ids); control pieces are silent, runs of byte pieces are UTF-8 with replacement of broken ones."""
-        out, held = [], bytearray()
-        byte_of, pieces = self.byte_of, self.text
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if i not in self.control:
-                out.append(pieces[i] if i != self.unknown else " ⁇ ")
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if whole and self.prefix and text[:1] == " " else text
+    def decode(self, ids) -> str:
+        """The text of ids; control pieces are silent, runs of byte pieces are UTF-8 with replacement of broken ones."""
+        # Pieces are whole characters, so a broken run of bytes ends where a piece starts. Only control pieces could join two runs.
+        raw = self.raw
+        if self.control and not self.control.isdisjoint(ids):
+            text = "".join(b"".join(map(raw.__getitem__, g)).decode("utf-8", "replace") for silent, g in groupby(ids, self.control.__contains__) if not silent)
+        else:
+            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
+        text = text.replace(MARK, " ")
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 def _codec(model: bytes, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker
@@ -271,7 +258,7 @@ def read_model(path: str) -> bytes:
 
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """The ``keep`` columns, ``n_tokens`` and ``ids``; with ``digest``, instead of ids their sha256
-    (4 bytes each, little-endian) and whether decoding gives the text again."""
+    (4 bytes each, little-endian) and whether decoding all of them gives the unchanged text again."""
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
     extra = [("ids_sha256", "string"), ("round_trip", "boolean")] if digest else [("ids", T.ArrayType(T.IntegerType()))]
     schema = given.drop("_text").schema.add("n_tokens", "long")
@@ -284,11 +271,11 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
         for b in batches:
             texts = b.column("_text").to_pylist()
             for lo, hi in pieces_of(texts):
-                got = codec.encode_many(texts[lo:hi], check=digest)
+                got = codec.encode_many(texts[lo:hi])
                 n = pa.array([None if g is None else len(g) for g in got], pa.int64())
                 if digest:
                     sha = [None if g is None else hashlib.sha256(np.frombuffer(g, np.int32).astype("<i4").tobytes()).hexdigest() for g in got]
-                    same = [None if g is None else codec.round_trips(t) for g, t in zip(got, texts[lo:hi], strict=True)]
+                    same = [None if g is None else codec.decode(g) == t for g, t in zip(got, texts[lo:hi], strict=True)]
                     cols = [n, pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
                 else:
                     sizes = np.array([0] + [0 if g is None else len(g) for g in got], np.int64).cumsum().astype(np.int32)

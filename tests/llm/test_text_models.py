@@ -227,6 +227,19 @@ def test_encode_documents(spark):
     assert sentencepiece_codec.encode_documents(df.limit(0), model).count() == 0
 
 
+def test_round_trip_is_of_whole_texts(spark):
+    texts = ["a▁b", "▁▁▂▃ chart", "▁", " ", "a  b", "é 🙂 x", *(t for t in ODD if t is not None)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentencepiece_codec.read_model(PIECE_MODEL)
+    got = {r["doc_id"]: r["round_trip"] for r in sentencepiece_codec.encode_documents(df, model, digest=True).collect()}
+    assert got == {i: "▁" not in t for i, t in enumerate(texts)}
+    codec = sentencepiece_codec.Codec(model)
+    broken = [codec.bytes[b] for b in (0xF0, 0x9F)]
+    assert codec.decode([*broken, *codec.encode("é"), *broken[:1]]) == "\ufffd é\ufffd"
+    silent = min(codec.control)
+    assert codec.decode([codec.bytes[0xC3], silent, codec.bytes[0xA9]]) == "\ufffd\ufffd"
+
+
 def test_edits_equal_full_counts():
     tokenizer = token_counts.Tokenizer(token_counts.read_ranks(BYTE_RANKS))
     rng = random.Random(4)
