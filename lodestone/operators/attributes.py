@@ -87,8 +87,32 @@ def magnitudes(series: DataFrame, m: list[list[float]]) -> DataFrame:
     return out.withColumns(dict(zip(("u_x", "u_y", "u_z"), moved, strict=True)))
 
 
+def tree_natural_neighbours(points: DataFrame, k: int = 24) -> DataFrame:
+    """Weights (pid, neighbor, weight) of the natural neighbours of each point among its k nearest of all points (JN-20)."""
+    near = knn(points, points, k, same=True).join(points.select(F.col("pid").alias("neighbor"), *(F.col(c).alias(f"p{c}") for c in geo.AXES)), "neighbor")
+    found = near.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor", *(f"p{c}" for c in geo.AXES)))).alias("m"))  # k rows
+    at = points.select("pid", *geo.AXES).join(found, "pid").select("pid", *geo.AXES, F.col("m.neighbor").alias("ids"), *(F.col(f"m.p{c}").alias(f"p{c}") for c in geo.AXES))
+
+    def weigh(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for pid, x, y, z, ids, *p in pdf.itertuples(index=False):
+                near = np.array(ids)
+                local = np.array(p, float).T - (x, y, z)
+                apart = (local**2).sum(1) > 0
+                out += [(pid, j, w) for j, w in zip(near[apart], _plane_weights(local[apart]), strict=True) if w > 0]
+            yield pd.DataFrame(out, columns=["pid", "neighbor", "weight"])
+
+    # Few bytes but much work for each row, so the rows are dealt out whatever their size.
+    spread = at.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pid")
+    return spread.mapInPandas(weigh, "pid long, neighbor long, weight double")
+
+
 def natural_neighbours(points: DataFrame, group: str, k: int = 24) -> DataFrame:
-    """Weights (pid, neighbor, weight) of the natural neighbours of each point among its k nearest in the group, in the plane of those.
+    """Weights (pid, neighbor, weight) of the natural neighbours of each point among its k nearest in the group (JN-21), in the plane of those.
 
     Sibson weights by the bisector areas of the point's cell, from a Delaunay fan in two dimensions; fewer than three neighbours give none.
     """
@@ -104,18 +128,22 @@ def natural_neighbours(points: DataFrame, group: str, k: int = 24) -> DataFrame:
             d[i] = np.inf
             near = np.argsort(d, kind="stable")[: min(k, len(pdf) - 1)]
             near = near[d[near] > 0]
-            if len(near) < 3:
-                continue
-            local = xyz[near] - xyz[i]
-            axes = np.linalg.eigh(np.cov(local.T))[1]
-            flat = local @ axes[:, 1:]
-            w = _cell_weights(flat)
-            out += [(pid[i], pid[j], x) for j, x in zip(near, w, strict=True) if x > 0]
+            out += [(pid[i], pid[j], x) for j, x in zip(near, _plane_weights(xyz[near] - xyz[i]), strict=True) if x > 0]
         return pd.DataFrame(out, columns=["pid", "neighbor", "weight"])
 
     return points.select(group, "pid", *geo.AXES).groupBy(group).applyInPandas(one, "pid long, neighbor long, weight double")
 
 
+def _plane_weights(local):
+    """Sibson weights of neighbours given relative to the point, in their plane; zeros for fewer than three."""
+    import numpy as np
+
+    if len(local) < 3:
+        return np.zeros(len(local))
+    axes = np.linalg.eigh(np.cov(local.T))[1]
+    return _cell_weights(local @ axes[:, 1:])
+
+
 def _clipped(poly, site, h):
     """The part of a convex polygon where p · site <= h."""
     out = []

@@ -232,7 +232,10 @@ def ray_boxes(spark, d) -> DataFrame:
 
 @query("jn20_21_natural_neighbours")
 def natural_neighbours(spark, d) -> DataFrame:
-    return rounded(att.natural_neighbours(parts(spark, d), "node", 12), 5)
+    """Among the 24 nearest of all points (JN-20) and among those of the point's node (JN-21)."""
+    p = parts(spark, d)
+    found = [att.tree_natural_neighbours(p).withColumn("among", F.lit("all")), att.natural_neighbours(p, "node").withColumn("among", F.lit("node"))]
+    return rounded(found[0].unionByName(found[1]), 5)
 
 
 @query(

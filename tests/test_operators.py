@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as geo
 from lodestone.functions import tree
-from lodestone.operators import mesh, neighbors, partition, reductions, visibility
+from lodestone.operators import attributes, mesh, neighbors, partition, reductions, visibility
 from lodestone.sources import binary, structured, text
 from lodestone.streaming.cut_scheduler import schedule, update_cut
 
@@ -67,6 +67,28 @@ def test_knn_equals_brute_force(spark):
         assert [got[i, k + 1] for k in range(4)] == [j for _, j in order[:4]]
 
 
+def test_natural_neighbours_come_from_all_points(spark):
+    rng = np.random.default_rng(5)
+    xyz = rng.random((80, 3)) * (9, 9, 1)
+    df = spark.createDataFrame([(i, i % 8, *map(float, p)) for i, p in enumerate(xyz)], "pid long, node long, x double, y double, z double")
+    got = {(r["pid"], r["neighbor"]): r["weight"] for r in attributes.tree_natural_neighbours(df).collect()}
+    want = {}
+    for i, p in enumerate(xyz):
+        d = ((xyz - p) ** 2).sum(1)
+        near = np.array([j for j in np.argsort(d, kind="stable") if j != i][:24])
+        local = xyz[near] - p
+        w = attributes._cell_weights(local @ np.linalg.eigh(np.cov(local.T))[1][:, 1:])
+        want |= {(i, int(j)): v for j, v in zip(near, w, strict=True) if v > 0}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_natural_neighbours_query_crosses_nodes(spark):
+    from lodestone.plans import registry
+
+    rows = registry.queries()["jn20_21_natural_neighbours"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r["pid"] % 8 != r["neighbor"] % 8 for r in rows) and any(r["pid"] % 8 == r["neighbor"] % 8 for r in rows)
+
+
 def test_split_sizes_and_tree_choice(spark):
     df = spark.range(103).select(F.col("id").alias("pid"), (F.col("id") * 7 % 11).cast("double").alias("v"), F.lit(0).alias("g"))
     sizes = {r["run"]: r["n"] for r in partition.split_runs(df, "g", "v", 4).groupBy("run").agg(F.count("*").alias("n")).collect()}
