@@ -259,7 +259,7 @@ def cut_actions(spark, d) -> DataFrame:
 def scheduler(spark, d) -> DataFrame:
     from lodestone.streaming.cut_scheduler import schedule
 
-    frames = errors(spark, d).where("node_id < 255").select("node_id", "error", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("frame"))
+    frames = errors(spark, d).select("node_id", "error", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("frame"))
     views = frames.withColumn("view_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("error", F.col("error") * (1 + F.col("frame")) / (1 + F.col("view_id")))
     return schedule(views.select(*(F.col(c).cast(t) for c, t in (("view_id", "long"), ("frame", "long"), ("node_id", "long"), ("error", "double")))), 2, 2.5, 64)
 

@@ -217,3 +217,13 @@ def test_cut_scheduler(spark):
     rows = [(0, f, n, 8.0 / (n + 1)) for f in range(3) for n in range(7)]
     df = spark.createDataFrame(rows, "view_id long, frame long, node_id long, error double")
     assert schedule(df, 2, 2.5, 8).count() >= 2
+
+
+def test_scheduler_query_reads_all_nodes(spark, monkeypatch):
+    from lodestone.plans import registry
+    from lodestone.streaming import cut_scheduler
+
+    given = []
+    monkeypatch.setattr(cut_scheduler, "schedule", lambda errors, *a: given.append(errors) or schedule(errors, *a))
+    assert registry.queries()["cut02_scheduler"](spark, "/root/testdata/sf0.01").count() > 0
+    assert given[0].select("node_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
