@@ -67,11 +67,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Spark hand Python batches of about so many bytes, where the session leaves its default of eight times as much."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m").lower() in ("67108864", "67108864b", "64m", "64mb"):
+        spark.conf.set(key, most)
+
+
 def pieces_of(texts: list, most_chars: int = 1_000_000):
-    """Slices of a list of texts with about most_chars characters each, so that numpy's working memory stays bounded."""
+    """Slices of a list of texts (or of their lengths) with about most_chars characters each, so that numpy's working memory stays bounded."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        held += len(t) if t else 0
+        held += t if isinstance(t, int) else len(t) if t else 0
         if held >= most_chars:
             yield start, i + 1
             start, held = i + 1, 0

@@ -266,3 +266,45 @@ def test_edit_touches_little(spark):
     for i, t in enumerate(ODD):
         assert got[i]["n_tokens"] == len(tokenizer.encoding.encode_ordinary(t or ""))
         assert got[i]["edited_tokens"] == len(tokenizer.encoding.encode_ordinary("new" + (t or "")[2:]))
+
+
+def made_model(kind, pieces):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    for piece, score, of in (("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, s, 1) for p, s in pieces)):
+        p = proto.pieces.add()
+        p.piece, p.score, p.type = piece, score, of
+    proto.trainer_spec.model_type, proto.trainer_spec.unk_id, proto.trainer_spec.bos_id, proto.trainer_spec.eos_id = kind, 0, 1, 2
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = True, False, True
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_made_models_equal_the_library(kind):
+    import sentencepiece
+
+    rng = random.Random(kind)
+    pieces = {c: -20.0 - i for i, c in enumerate("▁abcdé")} | {"".join(p): -rng.uniform(1, 15) for n in (2, 3, 4) for p in [rng.choices("abcdé", k=n) for _ in range(14)]}
+    pieces |= {"▁" + p: -rng.uniform(1, 15) for p in ("a", "ab", "cd", "é")}
+    if kind == 2:  # merging reaches a piece through shorter ones only, in the order of scores
+        pieces = {p: -float(n) for n, p in enumerate(sorted(pieces, key=len))}
+    model = made_model(kind, pieces.items())
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    texts = ["".join(rng.choice("aabbccddé  xy🙂") for _ in range(rng.randint(0, 30))).strip() for _ in range(400)] + ["a" * 3000, "xyz", "x a"]
+    texts = [" ".join(t.split()) for t in texts]
+    for t, ids in zip(texts, codec.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(t), t
+
+
+def test_kept_words_stay_in_bounds(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "WORD_BYTES", 20_000)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 50)
+    codec, whole = (sentencepiece_codec.Codec(sentencepiece_codec.read_model(PIECE_MODEL)) for _ in range(2))
+    texts = random_texts(200, 5) + ["y" * 100_000]
+    want = [i.tolist() for i in whole.encode_many(texts)]
+    for _ in range(2):
+        assert [codec.encode(t) for t in texts] == want
+    kept = [w for held in (codec.words, codec.aged) for w in held]
+    assert len(kept) * sentencepiece_codec.ENTRY <= 21_000 and max(map(len, kept)) <= sentencepiece_codec.LONGEST
