@@ -105,29 +105,43 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir. Only a local master may do without: it gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    return "file://" + _LOCAL.setdefault(key, tempfile.mkdtemp(prefix="lodestone-"))
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="lodestone-")
+    return "file://" + _LOCAL[app]
 
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is scratch space
-        pass
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables written so far; frames that read them are of no use afterwards. It is also done at exit."""
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is scratch space
+            pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, removed by release()."""
+    if not _WRITTEN:
+        atexit.unregister(release)
+        atexit.register(release, spark)
+    _WRITTEN.append(path := f"{scratch_dir(spark)}/lodestone-{uuid.uuid4().hex}-{name}")
+    return path
+
+
+def cut(df: DataFrame, name: str = "level") -> DataFrame:
     """Write df to the shared scratch folder and read it again: driver loops over levels keep short plans and survive lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, df.sparkSession, path)
+    df.write.parquet(path := scratch_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.model import PARTS_SQL, SURFELS_SQL, parts, read, rounded, scratch_dir, surfels
+from lodestone.model import PARTS_SQL, SURFELS_SQL, parts, read, rounded, scratch_path, surfels
 from lodestone.plans.registry import query
 from lodestone.sources import structured, text
 
@@ -54,7 +53,7 @@ def range_scan(spark, d) -> DataFrame:
 @query("src17_19_fem", "SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS step, user_id AS vertex, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) AS u_x FROM events")
 def fem(spark, d) -> DataFrame:
     """Events written as one folder a type, read back as steps in the order of the names."""
-    path = f"{scratch_dir(spark)}/fem-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "fem")
     e = read(spark, d, "events")
     line = F.concat_ws(" ", F.col("user_id").cast("string"), F.col("value").cast("string"), *(F.lit("0") for _ in range(8)))
     e.select("event_type", line.alias("value")).write.partitionBy("event_type").text(path)
@@ -88,7 +87,7 @@ def tables(spark, d) -> DataFrame:
 @query("src06_ply")
 def ply(spark, d) -> DataFrame:
     """Parts as an ASCII PLY file and back."""
-    path = f"{scratch_dir(spark)}/ply-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ply")
     p = parts(spark, d)
     n = p.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property float {c}" for c in "xyz"), "property uchar red", "property uchar green", "property uchar blue", "end_header"]
@@ -107,7 +106,7 @@ def text_sink(spark, d) -> DataFrame:
 
 @query("snk02_04_14_parquet", f"WITH {PARTS_SQL} SELECT pid, x, y, z, radius, node FROM parts")
 def parquet_sink(spark, d) -> DataFrame:
-    path = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tree")
     structured.write_tree(parts(spark, d).withColumn("node_id", F.col("node")), {"fan": 2, "depth": 3}, path)
     return spark.read.parquet(f"{path}/nodes").select("pid", "x", "y", "z", "radius", "node")
 
