@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.model import cut
+
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
-_LOCAL: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="lodestone-")
-    return "file://" + _LOCAL[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is scratch space
-        pass
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -43,11 +21,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage with files that every executor can read, so a lost
     executor costs no recomputation of what came before.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestone-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
