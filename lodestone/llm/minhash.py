@@ -14,9 +14,12 @@ buckets, all pairs are never made:
    is compared with one other, the head of most of its buckets;
 2. components of the confirmed links are found, and where a bucket still spans
    several components, the members outside its largest one are compared with
-   those of other components, if their sets can reach the similarity at all: a
-   shingle that no other document of such buckets has is in no intersection,
-   which bounds the similarity exactly. Connected members need no test.
+   those of other components. Before that, members whose sets cannot reach the
+   similarity with any other in the bucket leave it: a shingle that no other
+   member of an open bucket has is in no intersection, so what remains of a set,
+   and the least set size in the bucket, bound every similarity exactly. That
+   closes most buckets, and is done ``prunings`` times, as each time leaves more
+   shingles with one holder. Connected members need no test.
 
 Confirmation compares whole sets of shingle hashes in blocks of about ``group``
 documents (two such tiles in the second round), so that a large group is as many
@@ -26,8 +29,8 @@ Components come from alternating star contraction over tables, so neither
 links nor components reach the driver.
 
 Defined results: texts without words (null, empty, white space) have no
-shingles and link with nothing. Rows that share an id are one document: they
-share a component. A row with a null id is given its set size, takes no part,
+shingles and link with nothing. Rows that share an id are one document: any of
+its texts may link, and they share a component. A row with a null id is given its set size, takes no part,
 and is kept. An empty table gives an empty result.
 """
 
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix64, pieces_of, saved, shingle_hashes, word_hashes
+from lodestone.llm.common import bounded_batches, mix64, pieces_of, saved, shingle_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,7 @@ class MinHashConfig:
     permutations: int = 80
     rows: int = 4
     group: int = 128
+    prunings: int = 2
 
     @property
     def bands(self) -> int:
@@ -141,7 +145,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, config: MinHashConfig) -> Data
 def crossing_links(open_: DataFrame, texts: DataFrame, config: MinHashConfig) -> DataFrame:
     """Links between documents of different components that share an open bucket.
 
-    ``open_`` has key, x, component, main, tile, n and rest. Tiles, not pairs,
+    ``open_`` has key, x, component, main, tile, n and rest (see ``able``). Tiles, not pairs,
     meet on the bucket: one with a member outside the bucket's largest component
     meets every tile of the bucket. A block of two tiles then compares its
     documents of different components, so a text goes to one block per tile of
@@ -202,7 +206,26 @@ def own_shingles(texts: DataFrame, config: MinHashConfig) -> DataFrame:
 
     found = texts.select("id", "text").mapInArrow(run, "x long, shingle long")
     held = found.groupBy("shingle").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x = y")
-    return held.groupBy("x").agg(F.count("*").alias("own"))
+    # What an id with several texts has alone may be spread over them, so it bounds none of them.
+    several = texts.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("x"))
+    return held.groupBy("x").agg(F.count("*").alias("own")).join(several, "x", "left_anti")
+
+
+def open_buckets(members: DataFrame) -> DataFrame:
+    """The members (key, x, component and more) of buckets with several components, and ``main``, the bucket's largest one."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return members.join(parts.select("key", "main"), "key")
+
+
+def able(open_: DataFrame, texts: DataFrame, config: MinHashConfig) -> DataFrame:
+    """The members of open buckets whose sets can reach the similarity with any other there, and ``rest``, the most shingles in common."""
+    own = saved(own_shingles(texts.join(open_.select(F.col("x").alias("id")).distinct(), "id", "left_semi"), config), "own")
+    bounded = open_.select("key", "x", "n", "component").join(own, "x", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    least = open_.groupBy("key").agg(F.min("n").alias("least"))
+    # common / (n + least - common) at common = rest
+    reach = (100 + config.percent) * F.col("rest") >= config.percent * (F.col("n") + F.col("least"))
+    return bounded.join(least, "key").where(reach).drop("least")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,8 +249,16 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def same_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, p) between an id with several rows and the classes of their sets."""
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    held = sketches.join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n_shingles"])
+    return held.where("doc_id <> class_id").select(F.col("doc_id").alias("x"), F.col("class_id").alias("p")).distinct()
+
+
 def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), component_id and kept for each row of doc_id and text."""
+    bounded_batches(docs.sparkSession)
     sketches = saved(sketch(docs, config), "sketch")
     same = ["f1", "f2", "n_shingles"]
     classes = saved(sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
@@ -245,23 +276,19 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     first = saved(first, "first")
     involved = members.select(F.col("x").alias("doc_id")).distinct()
     texts = saved(docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
-    links = saved(confirmed(first, texts, config), "links1")
+    links = saved(confirmed(first, texts, config).unionByName(same_id(sketches, classes)), "links1")
 
     known = components(links)
     at = members.join(known.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    at = saved(at.select("key", "x", "n", "component"), "placed")
-    parts = at.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = saved(at.join(parts.select("key", "main"), "key"), "open")
-    reach = saved(own_shingles(texts.join(open_.select(F.col("x").alias("id")).distinct(), "id", "left_semi"), config), "own")
-    # What others can have of a document's set: shingles of its own are in no intersection.
+    open_ = saved(open_buckets(at.select("key", "x", "n", "component")), "open").withColumn("rest", F.col("n"))
+    for _ in range(config.prunings):
+        open_ = saved(open_buckets(able(open_, texts, config)), "able")
     kin = open_.select("x").distinct().join(first, "x", "left").select("x", F.coalesce("p", "x").alias("kin"))
-    tiles = saved(tiled(saved(kin, "kin"), config), "tiles")
-    open_ = open_.join(reach, "x", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(tiles, "x")
+    open_ = open_.join(saved(tiled(saved(kin, "kin"), config), "tiles"), "x")
     links = links.unionByName(saved(crossing_links(saved(open_, "bounded"), texts, config), "links2"))
     final = saved(components(links), "components")
-    found = sketches.join(classes, same, "left").drop("f1", "f2", "keys")
-    found = found.join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = sketches.join(classes, same, "left").withColumn("node", F.coalesce("class_id", "doc_id"))
+    found = found.join(final, "node", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     out = found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), whole.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

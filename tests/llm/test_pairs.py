@@ -155,3 +155,32 @@ def test_top_k_large_numbers_and_few_rows(spark):
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0, 5).select("query_id", "rank", "vec_id", "score").collect()))
     assert got == brute(rows, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 5).count() == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    # A chain of small changes: neighbours are linked, far ones are not, so one head cannot link them all; ids repeat along it.
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(90)]
+    rows = []
+    for k in range(120):
+        words = list(words)
+        words[rng.randrange(90)] = f"n{k}"
+        rows.append((k % 47 if k % 3 else 1000 + k, " ".join(words)))
+    rows += [(7, " ".join(f"p{i}" for i in range(100))), (7, " ".join(f"q{i}" for i in range(100))), (2000, " ".join(f"q{i}" for i in range(2, 100))), (2001, None), (7, "")]
+    sets = [shingles(t, 5) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, s), (j, t) in itertools.combinations(list(zip([i for i, _ in rows], sets, strict=True)), 2):
+        if s and 100 * len(s & t) >= 80 * len(s | t):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    want = sorted((i, len(s), find(i), find(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+    for prunings in (0, 2):
+        config = minhash.MinHashConfig(group=8, prunings=prunings)
+        out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), config)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()) == want
