@@ -93,6 +93,7 @@ class Codec:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.control = {i for i, k in enumerate(kind) if k == 3}
         self.unknown = kind.index(2)
+        self.unknown_score = min((self.score[i] for i in self.pieces.values()), default=0.0) - 10.0  # fixed by the library
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece holds a mark after other characters")
         self.prefixes = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
@@ -184,6 +185,7 @@ class Codec:
         node: list[_Node] = [self.root]
         piece: list[str] = [""]
         best: list[float] = [0.0]
+        total = array("f", [0.0])  # sums are rounded as the library rounds them, so that ties are its ties
         pieces, score, bpe = self.pieces, self.score, self.bpe
         for word in sorted(words):
             shared, most = 0, min(len(last), len(word))
@@ -208,11 +210,15 @@ class Codec:
                     else:
                         piece.append(c)
                 else:
-                    top, found = best[end - 1] - 1e6, c
+                    top, found = -np.inf, c
                     for size, p, _ in state.ends:
-                        total = best[end - size] + score[pieces[p]]
-                        if total > top:
-                            top, found = total, p
+                        total[0] = best[end - size] + score[pieces[p]]
+                        if total[0] > top:
+                            top, found = total[0], p
+                    if c not in pieces:
+                        total[0] = best[end - 1] + self.unknown_score
+                        if total[0] > top:
+                            top, found = total[0], c
                     piece.append(found)
                     best.append(top)
             last = word
