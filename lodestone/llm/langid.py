@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import pieces_of, saved
+from lodestone.llm.common import bounded_batches, pieces_of, saved
 
 _MULT = np.uint32(0x9E3779B1)
 #: Words in a row of the chain, and steps between rescalings of its sweeps.
@@ -286,6 +286,7 @@ def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Mo
     """Train on the whole texts of documents (doc_id, text, lang) where ``learn`` holds: the ``sample`` with the smallest id
     hashes, and of each language the ``least_rows`` with the smallest, which are all rows of a rare language. The ids are
     chosen on narrow columns. The driver reads the texts in pieces, one partition at a time."""
+    bounded_batches(docs.sparkSession)
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     # Ranks in two levels, so that no task meets all rows of a language.
@@ -318,6 +319,7 @@ def predict(docs: DataFrame, model: Model, config: LangConfig = LangConfig(), te
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
     schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     # 2**bits weights for each language
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.emission, model.transition))
 
     def run(batches):

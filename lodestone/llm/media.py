@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bounded_batches
+
 TILE = 32
 WIDTH = 64
 _HEADER = re.compile(rb"\s*(?:#[^\n\r]*[\n\r]\s*)*(\d+)")
@@ -159,6 +161,7 @@ def media_features(df: DataFrame, media: str, side: int = TILE) -> DataFrame:
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["_row", "height", "width", "dhash", "tile", "error"])
 
+    bounded_batches(df.sparkSession)
     return given.mapInArrow(run, schema)
 
 
@@ -194,4 +197,5 @@ def text_media(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, TEXT_MEDIA)

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bounded_batches
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK, LOOK_PAST, CACHE = 64, 2, 600_000
@@ -183,6 +185,7 @@ def count_documents(docs: DataFrame, ranks: bytes, edits: Column | None = None,
     names = [x.split()[0] for x in COUNTS.split(", ")]
     for name in names:
         schema = schema.add(name, "long")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file
 
     def run(batches):

@@ -8,10 +8,14 @@ weights. Training uses at most ``sample`` labelled rows of each class, those
 with the smallest hashes of their ids; everything else covers all rows.
 
 Scoring is one pass over whole texts in Arrow batches with a table of
-``2**bits`` floats, whose size is fixed by the configuration.
-
-Defined results: null and empty texts have no features, so they score the
-model's base rate. Rows without a label, or with an id that is missing from the
+``2**bits`` floats, whose size is fixed by the configuration. Only the text goes
+to Python and only the score comes back. A text of any length is scored whole;
+its n-grams take about 60 bytes a character while it is at hand.
+
+Defined results: null and empty texts have no features, so they score what the
+model gives without any: its bias, learned with the classes in balance. An id
+that is repeated among the documents is learned from once, with its least text.
+Rows without a label, or with an id that is missing from the
 labels, are scored but not learned from. With no labelled row of one class the
 model has no features and scores the smoothed share of label 1 (0 without any
 labels). Repeated rows get a row each, an empty table an empty result.
@@ -19,6 +23,7 @@ labels). Repeated rows get a row each, an empty table an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import bounded_batches, saved
 
 _MULT = np.uint32(0x9E3779B1)
 
@@ -125,11 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
     The ids are chosen on the narrow labels table; at most 2 * sample rows of
     kept features reach the driver.
     """
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    bounded_batches(docs.sparkSession)
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     order = F.xxhash64("doc_id")
     parts = [usable.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(config.sample) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows of two numbers
-    texts = docs.join(chosen, "doc_id").select("toxic", "text")
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
     def hashed(batches):
         for b in batches:
@@ -144,9 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
                 n[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["count", "n"])
 
-    # Repeated document rows could exceed the bound, so it is held here too. The buckets stay on the executors: the driver
-    # gets class counts of a few parts, and then the kept features of each row.
-    sample = saved(texts.mapInArrow(hashed, "toxic int, buckets binary").limit(2 * config.sample), "sample")
+    # The buckets stay on the executors: the driver gets class counts of a few parts, and then the kept features of each row.
+    sample = saved(texts.mapInArrow(hashed, "toxic int, buckets binary"), "sample")
     count, n = np.zeros((2, 1 << config.bits), np.int64), np.zeros(2, np.int64)
     for r in sample.coalesce(4).mapInArrow(counted, "count binary, n binary").toLocalIterator():
         count += np.frombuffer(r["count"], np.int32).reshape(count.shape)
@@ -169,14 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
 
 def score(docs: DataFrame, model: Model, config: ToxicityConfig = ToxicityConfig(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``score`` for every row."""
-    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = given.drop("_text").schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2**bits floats
+    bounded_batches(docs.sparkSession)
 
-    def run(batches):
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for b in batches:
-            values = pa.array([score_text(t.as_py(), own, config) for t in b.column("_text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), values], names=[*keep, "score"])
+        for texts in batches:
+            yield pa.array([score_text(t.as_py(), own, config) for t in texts], pa.float64())
 
-    return given.mapInArrow(run, schema)
+    # Not to be evaluated again by a filter on the score.
+    value = F.arrow_udf(scores, "double").asNondeterministic()
+    return docs.select(*(F.col(f"`{c}`") for c in keep), value(F.col(f"`{text}`")).alias("score"))
