@@ -21,12 +21,14 @@ theirs: they form segments. The Spark rounds then are:
    and counted one by one, which verifies each repeat;
 3. the repeated windows come back to their documents.
 
-The texts are dealt by document once, for rounds 2 and 3. Rows are counted
-before they meet, so a passage in a third of all documents is one counted row
+The texts are dealt by document once, for rounds 2 and 3. A row is known by its
+id and a 64-bit hash of its text, or by two such hashes if the id is null; rows
+that agree in that are equal and lose the same words. Rows are counted before they meet, so a passage in a third of all documents is one counted row
 per task and name.
 
 Defined results: null and empty texts have no words and lose none; texts
-shorter than a window lose none. Repeated rows are documents of their own, so
+shorter than a window lose none; a text may have any number of words, and takes
+about 200 bytes a word while it is at hand. Repeated rows are documents of their own, so
 their windows repeat. Rows with a null id are treated like any other. An empty
 table gives an empty result.
 """
@@ -42,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix64, pieces_of, saved, word_hashes
+from lodestone.llm.common import bounded_batches, mix64, pieces_of, saved, word_hashes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
-_INDEX = np.uint64((1 << 24) - 1)
+#: Places in a symbol array; the bits above hold the rank of a name, whose ties the place settles as it does in every equal window.
+_INDEX = np.uint64((1 << 36) - 1)
 
 
 @dataclass(frozen=True)
@@ -124,8 +127,6 @@ def segments(p: Parsed, config: RepeatConfig) -> tuple[np.ndarray, ...]:
     for level, (sym, a, b) in reversed(list(enumerate(levels(p.names, config.rounds)))):
         if not len(todo):
             break
-        if len(sym) > int(_INDEX):
-            raise ValueError("too many words at once")
         # Symbols lo to hi - 1 have their context inside the window.
         lo = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n + 1))])[w[todo]]
         hi = np.cumsum(np.bincount(b, minlength=n + 1))[w[todo] + size]
@@ -178,8 +179,9 @@ def flag_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), keep: t
     rest = F.struct(F.lit(0).alias("_none"), *(F.col(f"`{c}`") for c in keep)).alias("rest")
     number = F.col("doc_id").cast("long")
     own = docs.select(
-        number.alias("doc_id"), F.col("text"), rest, F.coalesce(number, F.lit(-1)).alias("id"), F.hash("text", number.isNull()).alias("th")
+        number.alias("doc_id"), F.col("text"), rest, F.coalesce(number, F.xxhash64("text", F.lit(1))).alias("id"), F.xxhash64("text", number.isNull()).alias("th")
     )
+    bounded_batches(docs.sparkSession)
 
     def name_segments(batches):
         for b in batches:
@@ -189,7 +191,7 @@ def flag_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), keep: t
                 cols = [_signed(name), _signed(whole), b.column("id").slice(lo, hi - lo).take(row), b.column("th").slice(lo, hi - lo).take(row)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(_ordinal(text).astype(np.int32))], names=["name", "whole", "id", "th", "seg"])
 
-    found = own.select("id", "th", "text").mapInArrow(name_segments, "name long, whole long, id long, th int, seg int")
+    found = own.select("id", "th", "text").mapInArrow(name_segments, "name long, whole long, id long, th long, seg int")
     names = found.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2"))
     names = saved(names.where("n > 1").select("name", (F.col("w1") == F.col("w2")).alias("same")), "names")
     hits = found.drop("whole").join(names, "name")
@@ -220,7 +222,7 @@ def flag_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), keep: t
                 cols = [_signed(words), _signed(key), b.column("id").slice(lo, hi - lo).take(at), b.column("th").slice(lo, hi - lo).take(at)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array((w - p.first[row]).astype(np.int32))], names=["words", "name", "id", "th", "w"])
 
-    windows = open_.mapInArrow(name_windows, "words long, name long, id long, th int, w int")
+    windows = open_.mapInArrow(name_windows, "words long, name long, id long, th long, w int")
     # Counted under one more key, so that the join deals both sides anew and adaptive execution can split a passage that a
     # third of the documents share.
     counted = windows.groupBy(F.xxhash64("words", "name").alias("k"), "words", "name").agg(F.count("*").alias("n"))
