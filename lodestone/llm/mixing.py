@@ -16,7 +16,8 @@ bucket), so a source with a third of all rows is no single task's work.
 
 Defined results: null and empty texts have size 0 and nothing taken; a null
 source is a source of its own, ordered last; rows with the same id are separate
-documents, and such rows of equal size share one order. An empty table gives an
+documents, told apart by a hash of their texts; only rows alike in id and text
+are gathered, to share what they are given. An empty table gives an
 empty result. Every draw is a hash of ids, counters and ``seed``, so reruns agree.
 """
 
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD, saved
 
 
+#: Slots that one task lists.
+SLOTS = 65_536
+
+
 @dataclass(frozen=True)
 class MixConfig:
     weights: tuple[int, ...] = (3, 1, 2)
@@ -81,15 +86,15 @@ def placed(sizes: DataFrame, sources: DataFrame, config: MixConfig) -> DataFrame
     """Each document's offset in its source's stream, as running totals in two levels."""
     src = sources.select("sid", F.col("source").alias("_source"), "docs", "source_size", "target")
     buckets = F.greatest(F.lit(1), F.ceil(F.sqrt("docs")))
-    docs = sizes.join(src, F.col("source").eqNullSafe(F.col("_source"))).withColumn("key", F.xxhash64("doc_id", F.lit(config.seed)))
+    docs = sizes.join(src, F.col("source").eqNullSafe(F.col("_source"))).withColumn("key", F.xxhash64("doc_id", "h", F.lit(config.seed)))
     docs = docs.withColumn("bucket", F.pmod("key", buckets).cast("long"))
-    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.count(F.lit(1)).over(within))
     totals = docs.groupBy("sid", "bucket").agg(F.max("upto").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     return docs.join(totals, ["sid", "bucket"]).select(
-        "doc_id", "size", "sid", "source_size", "target", "bucket", "nth", (F.col("base") + F.col("upto") - F.col("size")).alias("off")
+        "doc_id", "h", "size", "sid", "source_size", "target", "bucket", "nth", (F.col("base") + F.col("upto") - F.col("size")).alias("off")
     )
 
 
@@ -130,6 +135,7 @@ def drawn_slots(sources: DataFrame, config: MixConfig) -> DataFrame:
     base = F.coalesce(F.sum("cc").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(up_to, -1)), F.lit(0))
     inner = F.coalesce(F.sum("c").over(Window.partitionBy("sid", "chunk").orderBy("shard").rowsBetween(up_to, -1)), F.lit(0))
     counts = counts.withColumn("inner", inner).join(chunks.withColumn("base", base).select("sid", "chunk", "base"), ["sid", "chunk"])
+    # Few rows that become many: they are dealt out before their slots are listed.
     counts = counts.join(sources.select("sid", "quota"), "sid").withColumn("start", F.col("base") + F.col("inner"))
     kept = counts.withColumn("end", F.least(F.col("start") + F.col("c"), "quota")).where("end > start")
     # What a source has not drawn of its quota fills closing shards.
@@ -140,6 +146,7 @@ def drawn_slots(sources: DataFrame, config: MixConfig) -> DataFrame:
     shards = -(-n // config.shard_slots)
     closing = short.select("sid", F.col("start").alias("first"), "base", F.explode(F.sequence("start", F.col("quota") - 1)).alias("j"))
     closing = closing.select(F.expr(f"{shards} + (base + j - first) div {config.shard_slots}").alias("shard"), "sid", "j")
+    kept = kept.select("shard", "sid", "start", "end").repartition(n // SLOTS + 1, "shard", "sid")
     return kept.select("shard", "sid", F.explode(F.sequence("start", F.col("end") - 1)).alias("j")).unionByName(closing)
 
 
@@ -165,7 +172,7 @@ def mix_pieces(places: DataFrame, sources: DataFrame, config: MixConfig) -> Data
 
 def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(places, sources, pieces) for documents with doc_id, text and source; texts are read once and not shuffled."""
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = saved(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size")), "sizes")
     sources = saved(source_targets(sizes, config), "sources")
     places = saved(placed(sizes, sources, config), "places")
     return places, sources, mix_pieces(places, sources, config)
@@ -184,19 +191,19 @@ def mix_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame
 
     A document taken whole and once keeps its text; otherwise its taken words
     follow one another pass by pass, joined by one space. Untaken documents go.
-    Rows with the same id and size share what they were given by turns.
+    Rows with the same id and text share what they were given by turns.
     """
     places, _, pieces = mix_plan(docs, config)
     spans = pieces.groupBy("sid", "bucket", "nth").agg(
         F.sum("n_words").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "start", "n_words"))).alias("spans")
     )
-    spans = places.join(spans, ["sid", "bucket", "nth"]).select("doc_id", "size", "taken", "spans")
-    # Rows of one id and size are told apart by their rank, so that joining never multiplies them.
+    spans = places.join(spans, ["sid", "bucket", "nth"]).select("doc_id", "h", "size", "taken", "spans")
+    # Rows of one id and text are told apart by their rank, so that joining never multiplies them.
     key = {"_id": F.coalesce("doc_id", F.lit(-1)), "_none": F.col("doc_id").isNull()}
-    on = ["_id", "_none", "size"]
+    on = ["_id", "_none", "h", "size"]
     turns = spans.withColumns(key).groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("taken", "spans"))).alias("turns"))
-    sized = docs.select("doc_id", "text", "lang", "source", word_count(F.col("text")).alias("size")).withColumns(key)
-    sized = sized.withColumn("_turn", F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64("text"))))
+    sized = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size")).withColumns(key)
+    sized = sized.withColumn("_turn", F.row_number().over(Window.partitionBy(*on).orderBy(F.col("source").asc_nulls_last())))
     out = sized.join(turns, on).withColumn("_own", F.get("turns", F.col("_turn") - 1)).where(F.col("_own").isNotNull())
     spans, text = F.col("_own.spans"), F.col("text")
     whole = (F.col("_own.taken") == F.col("size")) & (F.element_at(spans, -1)["epoch"] == F.element_at(spans, 1)["epoch"])
