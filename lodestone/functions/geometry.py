@@ -104,28 +104,40 @@ def disk_box(center: Vec, normal: Vec, radius: Column) -> tuple[Vec, Vec]:
     return tuple(c - h for c, h in zip(center, half, strict=True)), tuple(c + h for c, h in zip(center, half, strict=True))
 
 
-def disks_overlap(p1: Vec, n1: Vec, r1: Column, p2: Vec, n2: Vec, r2: Column, eps: float = 1e-9) -> Column:
+#: Fixed value: how far the normals are turned before planes meet, the first along x and the second along z.
+TURN = 0.001
+
+
+def turned(n: Vec, axis: int) -> Vec:
+    """A normal with TURN added on an axis, of unit length again."""
+    moved = tuple(c + TURN if i == axis else c for i, c in enumerate(n))
+    size = F.sqrt(dot(moved, moved))
+    return tuple(c / size for c in moved)
+
+
+def disks_overlap(p1: Vec, n1: Vec, r1: Column, p2: Vec, n2: Vec, r2: Column, eps: float = 1e-18) -> Column:
     """Do two disks come close enough to overlap?
 
-    The centres must be no further apart than the radii together. Parallel
-    planes then count as overlapping if they are one plane; otherwise the line
-    in which the planes meet must pass within both radii.
+    The centres must be no further apart than the radii together. Then the line
+    in which the planes meet must pass within both radii. The planes are turned a
+    little, each its own way, so that disks on nearly one plane meet in a line
+    close by; if they still are parallel they overlap only as one plane.
     """
+    n1, n2 = turned(n1, 0), turned(n2, 2)
     d = cross(n1, n2)
     d2 = dot(d, d)
     near = distance2(p1, p2) <= (r1 + r2) * (r1 + r2)
-    flat = F.abs(dot(sub(p2, p1), n1)) <= 1e-6 * (r1 + r2)
-    # The point of the line next to the origin of both plane equations.
-    h1, h2 = dot(n1, p1), dot(n2, p2)
-    a, b = cross(n2, d), cross(d, n1)
-    q = tuple((h1 * s + h2 * t) / F.when(d2 > eps, d2) for s, t in zip(a, b, strict=True))
-
-    def from_line(p: Vec) -> Column:
-        w = sub(p, q)
+    flat = dot(sub(p2, p1), n1) == 0
+    # The point of the line next to the first centre, from where the plane of the second is h away.
+    h = dot(sub(p2, p1), n2)
+    a = cross(d, n1)
+    q = tuple(h * s / F.when(d2 > eps, d2) for s in a)
+
+    def from_line(w: Vec) -> Column:
         along = dot(w, d)
         return dot(w, w) - along * along / F.when(d2 > eps, d2)
 
-    crossing = (from_line(p1) <= r1 * r1) & (from_line(p2) <= r2 * r2)
+    crossing = (dot(q, q) <= r1 * r1) & (from_line(sub(sub(p2, p1), q)) <= r2 * r2)
     return near & F.when(d2 <= eps, flat).otherwise(F.coalesce(crossing, F.lit(False)))
 
 

@@ -136,8 +136,9 @@ def transfer_by_depth(queries: DataFrame, points: DataFrame, max_depth: int, lea
 
 
 def outliers(points: DataFrame, k: int, n: int) -> DataFrame:
-    """The n points with the largest mean squared distance to their k neighbours."""
-    mean = knn(points, points, k, same=True).groupBy("pid").agg(F.avg("d2").alias("mean_d2"))
+    """The n points with the largest mean squared distance to their k neighbours; sums are decimal, so that their order does not matter."""
+    total = F.sum(F.col("d2").cast("decimal(28,9)")).cast("double")
+    mean = knn(points, points, k, same=True).groupBy("pid").agg((total / F.count("*")).alias("mean_d2"))
     return mean.orderBy(F.col("mean_d2").desc(), "pid").limit(n)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.color import RGB_XYZ, WHITE
+from lodestone.functions.geometry import TURN
 
 COLUMNS = ["x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "radius"]
 OUT = "node_id long, " + ", ".join(f"{c} double" for c in COLUMNS)
@@ -69,23 +70,21 @@ def representative(rows: np.ndarray) -> np.ndarray:
 
 
 def overlap_matrix(rows: np.ndarray) -> np.ndarray:
-    """Which disks overlap, by the same rule as the column expression."""
-    p, n, r = rows[:, :3], rows[:, 3:6], rows[:, 9]
-    gap = p[:, None] - p[None]
+    """Which disks overlap, by the same rule as the column expression; of a pair the earlier row is the first disk."""
+    p, r = rows[:, :3], rows[:, 9]
+    first, second = (unit(rows[:, 3:6] + np.eye(3)[axis] * TURN) for axis in (0, 2))
+    gap = p[None] - p[:, None]
     near = (gap**2).sum(-1) <= (r[:, None] + r[None]) ** 2
-    d = np.cross(n[:, None], n[None])
+    d = np.cross(first[:, None], second[None])
     d2 = (d**2).sum(-1)
-    flat = np.abs((gap * n[:, None]).sum(-1)) <= 1e-6 * (r[:, None] + r[None])
-    h = (n * p).sum(1)
+    flat = (gap * first[:, None]).sum(-1) == 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        q = (h[:, None, None] * np.cross(n[None], d) + h[None, :, None] * np.cross(d, n[:, None])) / d2[..., None]
-        w1, w2 = p[:, None] - q, p[None] - q
-        from1 = (w1**2).sum(-1) - (w1 * d).sum(-1) ** 2 / d2
-        from2 = (w2**2).sum(-1) - (w2 * d).sum(-1) ** 2 / d2
-        crossing = (from1 <= r[:, None] ** 2) & (from2 <= r[None] ** 2)
-    out = near & np.where(d2 <= 1e-9, flat, crossing)
-    np.fill_diagonal(out, False)
-    return out
+        q = (gap * second[None]).sum(-1)[..., None] * np.cross(d, first[:, None]) / d2[..., None]
+        w = gap - q
+        from2 = (w**2).sum(-1) - (w * d).sum(-1) ** 2 / d2
+        crossing = ((q**2).sum(-1) <= r[:, None] ** 2) & (from2 <= r[None] ** 2)
+    out = np.triu(near & np.where(d2 <= 1e-18, flat, crossing), 1)
+    return out | out.T
 
 
 def grid_of(rows: np.ndarray, cells: int) -> np.ndarray:

@@ -17,6 +17,8 @@ AXES = geo.AXES
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 KNN = f"""knn AS (SELECT * FROM (SELECT a.pid, b.pid AS neighbor, {D2} AS d2, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS INTEGER) AS rank
   FROM parts a JOIN parts b ON a.pid <> b.pid) WHERE rank <= 10)"""
+#: Means of sums that do not depend on the order of rows.
+MEAN = "m AS (SELECT pid, CAST(sum(CAST(d2 AS DECIMAL(28, 9))) AS DOUBLE) / count(*) AS mean_d2 FROM knn GROUP BY pid)"
 LOCAL = f"""loc AS (SELECT * FROM (SELECT a.node, a.pid, b.pid AS neighbor, {D2} AS d2, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS INTEGER) AS rank
   FROM parts a JOIN parts b ON a.node = b.node AND a.pid <> b.pid) WHERE rank <= 10)"""
 
@@ -71,14 +73,15 @@ def disks(spark, d) -> DataFrame:
 
 @query(
     "jn07_overlap",
-    f"""WITH {PARTS_SQL}, {DISKS}, p AS (SELECT a.*, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, b.radius AS orad, b.nx AS onx, b.ny AS ony, b.nz AS onz,
-      a.ny * b.nz - a.nz * b.ny AS dx, a.nz * b.nx - a.nx * b.nz AS dy, a.nx * b.ny - a.ny * b.nx AS dz FROM disks a JOIN disks b ON a.pid < b.pid AND {D2} <= (a.radius + b.radius) * (a.radius + b.radius)),
-    q AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2, nx * x + ny * y + nz * z AS h1, onx * ox + ony * oy + onz * oz AS h2 FROM p),
-    l AS (SELECT *, (h1 * (ony * dz - onz * dy) + h2 * (dy * nz - dz * ny)) / nullif(d2, 0) AS qx, (h1 * (onz * dx - onx * dz) + h2 * (dz * nx - dx * nz)) / nullif(d2, 0) AS qy,
-      (h1 * (onx * dy - ony * dx) + h2 * (dx * ny - dy * nx)) / nullif(d2, 0) AS qz FROM q),
-    w AS (SELECT *, (x - qx) * dx + (y - qy) * dy + (z - qz) * dz AS t1, (ox - qx) * dx + (oy - qy) * dy + (oz - qz) * dz AS t2 FROM l)
-    SELECT pid, other FROM w WHERE CASE WHEN d2 <= 1e-9 THEN abs((ox - x) * nx + (oy - y) * ny + (oz - z) * nz) <= 1e-6 * (radius + orad)
-      ELSE (x - qx) ** 2 + (y - qy) ** 2 + (z - qz) ** 2 - t1 * t1 / d2 <= radius * radius AND (ox - qx) ** 2 + (oy - qy) ** 2 + (oz - qz) ** 2 - t2 * t2 / d2 <= orad * orad END""",
+    f"""WITH {PARTS_SQL}, {DISKS}, t AS (SELECT *, sqrt((nx + 0.001) * (nx + 0.001) + ny * ny + nz * nz) AS s1, sqrt(nx * nx + ny * ny + (nz + 0.001) * (nz + 0.001)) AS s2 FROM disks),
+    u AS (SELECT *, (nx + 0.001) / s1 AS ax, ny / s1 AS ay, nz / s1 AS az, nx / s2 AS bx, ny / s2 AS by_, (nz + 0.001) / s2 AS bz FROM t),
+    p AS (SELECT a.pid, b.pid AS other, a.radius AS r1, b.radius AS r2, b.x - a.x AS gx, b.y - a.y AS gy, b.z - a.z AS gz, a.ax, a.ay, a.az, b.bx, b.by_, b.bz,
+      a.ay * b.bz - a.az * b.by_ AS dx, a.az * b.bx - a.ax * b.bz AS dy, a.ax * b.by_ - a.ay * b.bx AS dz FROM u a JOIN u b ON a.pid < b.pid AND {D2} <= (a.radius + b.radius) * (a.radius + b.radius)),
+    h AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2, gx * bx + gy * by_ + gz * bz AS h, gx * ax + gy * ay + gz * az AS off FROM p),
+    l AS (SELECT *, h * (dy * az - dz * ay) / nullif(d2, 0) AS qx, h * (dz * ax - dx * az) / nullif(d2, 0) AS qy, h * (dx * ay - dy * ax) / nullif(d2, 0) AS qz FROM h),
+    w AS (SELECT *, (gx - qx) * dx + (gy - qy) * dy + (gz - qz) * dz AS along FROM l)
+    SELECT pid, other FROM w WHERE CASE WHEN d2 <= 1e-18 THEN off = 0
+      ELSE qx * qx + qy * qy + qz * qz <= r1 * r1 AND (gx - qx) * (gx - qx) + (gy - qy) * (gy - qy) + (gz - qz) * (gz - qz) - along * along / d2 <= r2 * r2 END""",
 )
 def overlap(spark, d) -> DataFrame:
     return near.overlapping(disks(spark, d), 1.6)
@@ -335,13 +338,13 @@ def multiply_radii(spark, d) -> DataFrame:
 
 @query(
     "srt07_outliers",
-    f"WITH {PARTS_SQL}, {KNN}, m AS (SELECT pid, round(avg(d2), 6) AS mean_d2 FROM knn GROUP BY pid) SELECT * FROM m ORDER BY mean_d2 DESC, pid LIMIT 20",
+    f"WITH {PARTS_SQL}, {KNN}, {MEAN} SELECT pid, round(mean_d2, 4) AS mean_d2 FROM m ORDER BY m.mean_d2 DESC, pid LIMIT 20",
 )
 def outliers(spark, d) -> DataFrame:
-    return rounded(near.outliers(parts(spark, d), 10, 20), 6)
+    return rounded(near.outliers(parts(spark, d), 10, 20), 4)
 
 
-@query("srt08_without_outliers", f"WITH {PARTS_SQL}, {KNN}, m AS (SELECT pid, avg(d2) AS mean_d2 FROM knn GROUP BY pid), o AS (SELECT pid FROM m ORDER BY mean_d2 DESC, pid LIMIT 20) SELECT pid, x + 3.0 AS x FROM parts WHERE pid NOT IN (SELECT pid FROM o)")
+@query("srt08_without_outliers", f"WITH {PARTS_SQL}, {KNN}, {MEAN}, o AS (SELECT pid FROM m ORDER BY mean_d2 DESC, pid LIMIT 20) SELECT pid, x + 3.0 AS x FROM parts WHERE pid NOT IN (SELECT pid FROM o)")
 def without_outliers(spark, d) -> DataFrame:
     p = parts(spark, d)
     return p.join(near.outliers(p, 10, 20), "pid", "left_anti").select("pid", (F.col("x") + 3.0).alias("x"))

@@ -13,6 +13,7 @@ from lodestone.operators import attributes, mesh, neighbors, partition, reductio
 from lodestone.sources import binary, structured, text
 from lodestone.streaming.cut_scheduler import schedule, update_cut
 
+#: Known cases of overlapping disks, by normal, centre and radius.
 OVERLAPS = [
     ((1, 0, 0), (0, 0, 0), 1, (1, 0, 0), (0, 1.999, 0), 1, True),
     ((1, 0, 0), (0, 0, 0), 1, (1, 0, 0), (0, 2.01, 0), 1, False),
@@ -22,7 +23,7 @@ OVERLAPS = [
 ]
 
 
-@pytest.mark.parametrize("n1,p1,r1,n2,p2,r2,want", OVERLAPS[:4])
+@pytest.mark.parametrize("n1,p1,r1,n2,p2,r2,want", OVERLAPS)
 def test_disk_overlap(spark, n1, p1, r1, n2, p2, r2, want):
     lit = lambda v: tuple(F.lit(float(c)) for c in v)
     got = spark.range(1).select(geo.disks_overlap(lit(p1), lit(n1), F.lit(float(r1)), lit(p2), lit(n2), F.lit(float(r2))).alias("o")).first()["o"]
