@@ -4,7 +4,7 @@ Everything here is DataFrame code. Pages are first reduced to distinct
 (host, lexical path) templates with counts, so the tree levels work on a small
 aggregate, whatever one host's share of the pages is.
 
-The tree, level by level under each host:
+The tree, level by level under each host, as deep as its paths go:
 
 * lexical generalisation: digit, hexadecimal and mixed segments become
   placeholders, a known file ending is kept;
@@ -13,18 +13,30 @@ The tree, level by level under each host:
 * merging: the remaining siblings with enough labels are ordered by their
   blocked share, and neighbours that a two-proportion test cannot tell apart
   form one branch;
-* rejection: a template is blocked if its labelled purity, smoothed towards
-  the overall blocked share, reaches ``reject_at``.
+* rejection: a template is blocked if its labelled purity reaches ``reject_at``.
+
+Purity is smoothed by backing off. The share of blocked pages among all labelled
+ones is the prior of a path's own prefixes over all hosts: (first segment), then
+(first two), and so on, each smoothed towards the one before it, where it has
+fewer labelled pages. What that gives
+for a lexical path is the prior of the host's template with that path. So a
+host without a label is judged by what its paths are elsewhere, and one with
+labels by its own templates. A prefix is no host's property and is counted over
+all of them; a label speaks for its whole path, so a prefix with both kinds of
+pages decides nothing.
+
+Node names escape the characters that they are made with, so a segment that
+holds ``|``, ``*`` or ``{`` is never taken for a branch or a placeholder.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed unless the template of the empty path is
 rejected. Repeated rows get a row each. An empty table gives an empty result.
-Segments beyond ``max_depth`` count as one ``**`` segment.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +61,6 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeConfig:
-    max_depth: int = 6
     variable_children: int = 10
     variable_share: float = 0.05
     min_labelled: int = 5
@@ -75,8 +86,8 @@ def best_rule(rules: list[Rule], host: Column, path: Column) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def lexical_segments(path: Column, depth: int) -> Column:
-    """Path segments with variable-looking ones generalised, at most ``depth`` of them before ``**``."""
+def lexical_segments(path: Column) -> Column:
+    """Path segments, escaped, with variable-looking ones generalised."""
 
     def general(s: Column) -> Column:
         stem, ending = F.regexp_replace(s, r"\.[A-Za-z][A-Za-z0-9]{0,4}$", ""), F.regexp_extract(s, r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
@@ -86,21 +97,29 @@ def lexical_segments(path: Column, depth: int) -> Column:
             .when((F.length(stem) >= 12) & stem.rlike("[0-9]") & stem.rlike("[A-Za-z]"), F.lit("{id}"))
             .when(F.length(stem) > 64, F.lit("{long}"))
         )
-        return F.when(kind.isNull(), s).otherwise(F.concat(kind, ending))
+        return F.when(kind.isNull(), F.regexp_replace(s, r"([\\|*{}])", r"\\$1")).otherwise(F.concat(kind, ending))
 
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(parts, 1, depth), general)
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), general)
 
 
 def template_tree(templates: DataFrame, config: TreeConfig) -> DataFrame:
     """Give each (host, segs) row of counts the node of the learned tree that it ends in.
 
-    ``templates`` has host, segs, pages, labelled, blocked; the result adds ``node``.
+    ``templates`` has host, segs, pages, labelled, blocked; the result adds
+    ``node``. A template that is alone in its node needs no further levels, so
+    their number is that of the segments which templates of a host share.
     """
-    deepest = templates.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0
-    at = templates.withColumn("node", F.lit(""))
-    for level in range(min(deepest, config.max_depth + 1)):
+    at, done, level = templates.withColumn("node", F.lit("")), [], -1
+    while True:
+        level += 1
+        crowd = at.groupBy("host", "node").agg((F.count("*") == 1).alias("alone"))
+        at = saved(at.join(crowd, ["host", "node"]), f"nodes{level}")
+        rest = F.array_join(F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0))), "/")
+        ended = F.col("alone") | (F.size("segs") <= level)
+        done.append(at.where(ended).withColumn("node", F.when(F.size("segs") > level, F.concat("node", F.lit("/"), rest)).otherwise(F.col("node"))).select(*templates.columns, "node"))
+        at = at.where(~ended).drop("alone")
+        if at.isEmpty():
+            break
         here = at.withColumn("seg", F.get("segs", F.lit(level)))
         children = (
             here.where(F.col("seg").isNotNull())
@@ -135,7 +154,31 @@ def template_tree(templates: DataFrame, config: TreeConfig) -> DataFrame:
             step.withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(grown)).select(*templates.columns, "node"),
             f"tree{level}",
         )
-    return at
+    return reduce(DataFrame.unionByName, done)
+
+
+def backed_off(templates: DataFrame, config: TreeConfig) -> DataFrame:
+    """host, segs, node and purity of templates with nodes: over hosts by the prefixes of their paths, then by the host's own node.
+
+    A step with the same labelled pages as the one before adds nothing, so that no label counts again for each level it is deep.
+    """
+    overall = templates.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
+    first = F.struct(F.lit((overall["b"] or 0) / overall["n"] if overall["n"] else 0.0).alias("p"), F.lit(overall["n"] or 0).cast("long").alias("n"))
+
+    def closer(known: Column, b: Column, n: Column) -> Column:
+        value = (b + config.smoothing * known["p"]) / (n + config.smoothing)
+        return F.when(n == known["n"], known).otherwise(F.struct(value.alias("p"), n.alias("n")))
+
+    paths = templates.groupBy("segs").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"))
+    prefixes = paths.withColumn("level", F.explode(F.sequence(F.lit(1), F.size("segs"))))
+    prefixes = prefixes.select("segs", "b", "n", "level", F.xxhash64(F.slice("segs", F.lit(1), F.col("level"))).alias("prefix"))
+    shares = prefixes.groupBy("level", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    steps = prefixes.select("segs", "level", "prefix").join(shares, ["level", "prefix"]).groupBy("segs")
+    steps = steps.agg(F.array_sort(F.collect_list(F.struct("level", "b", "n"))).alias("steps"))  # one for each level of a path
+    prior = steps.select("segs", F.aggregate("steps", first, lambda known, x: closer(known, x["b"], x["n"])).alias("prior"))
+    nodes = templates.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    own = templates.select("host", "segs", "node").join(nodes, ["host", "node"]).join(prior, "segs")
+    return own.select("host", "segs", "node", closer(F.col("prior"), F.col("b"), F.col("n"))["p"].alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], config: TreeConfig = TreeConfig(), url: str = "url", label: str | None = None) -> DataFrame:
@@ -148,18 +191,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], config: TreeConfig = TreeCo
     seen = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row")).withColumns({"host": host, "path": path})
     seen = seen.withColumn("_fit", best_rule(rules, F.col("host"), F.col("path")))
     given = F.col(f"_row.`{label}`") if label else F.when(F.col("_fit.verdict") == "block", 1).when(F.col("_fit").isNotNull(), 0)
-    seen = seen.withColumn("segs", lexical_segments(F.col("path"), config.max_depth)).withColumn("_label", given.cast("long"))
+    seen = seen.withColumn("segs", lexical_segments(F.col("path"))).withColumn("_label", given.cast("long"))
     counts = seen.groupBy("host", "segs").agg(
         F.count("*").alias("pages"), F.count("_label").alias("labelled"), F.coalesce(F.sum("_label"), F.lit(0)).alias("blocked")
     )
     templates = template_tree(saved(counts, "templates"), config)
-    overall = templates.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
-    prior = (overall["b"] or 0) / overall["n"] if overall["n"] else 0.0
-    nodes = templates.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    purity = (F.col("b") + config.smoothing * prior) / (F.col("n") + config.smoothing)
-    judged = saved(
-        templates.join(nodes.withColumn("purity", purity), ["host", "node"]).select("host", "segs", "node", "purity"), "judged"
-    )
+    judged = saved(backed_off(templates, config), "judged")
     # Both sides are plain scans, so a host with a large share of the pages is split by adaptive execution.
     out = seen.join(judged, ["host", "segs"], "left")
     learned = F.when(F.col("purity") >= config.reject_at, F.lit("block")).otherwise(F.lit("allow"))

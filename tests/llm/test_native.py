@@ -65,6 +65,51 @@ def test_many_values_become_a_wildcard(spark):
     assert [r["template"] for r in out] == ["/*/about"]
 
 
+def test_templates_learned_elsewhere_judge_unlabelled_hosts(spark):
+    deep = "/".join("abcdefghijkl")
+    rows = [(i, f"http://h{i % 9}.net/win/{i}", 1) for i in range(180)] + [(1000 + i, f"http://h{i % 9}.net/read/{i}", 0) for i in range(180)]
+    rows += [(2000 + i, f"http://h{i % 9}.net/{deep}/bad/{i}", 1) for i in range(180)] + [(3000 + i, f"http://h{i % 9}.net/{deep}/good/{i}", 0) for i in range(180)]
+    rows += [(9001, "http://new.org/win/7", None), (9002, "http://new.org/read/7", None), (9003, f"http://new.org/{deep}/bad/7", None), (9004, f"http://new.org/{deep}/good/7", None), (9005, "http://new.org/else", None)]
+    # On its own host a template counts more than the same path elsewhere.
+    rows += [(5000 + i, f"http://fair.net/win/{i}", 0) for i in range(300)] + [(9006, "http://fair.net/win/9999", None)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, PAGES + ", bad int"), [], label="bad")
+    got = {r["page_id"]: r["verdict"] for r in out.select("_row.page_id", "verdict").where("page_id > 9000").collect()}
+    assert got == {9001: "allow", 9002: "allow", 9003: "block", 9004: "allow", 9005: "allow", 9006: "allow"}
+    fewer = spark.createDataFrame([r for r in rows if not 5000 <= r[0] < 6000], PAGES + ", bad int")
+    assert {r["verdict"] for r in url_filter.filter_urls(fewer, [], label="bad").where("_row.page_id = 9001").collect()} == {"block"}
+
+
+def test_segments_are_no_part_of_node_names(spark):
+    rows = [(i, f"http://s.net/{s}/x", bad) for s, bad in (("a", 1), ("b", 1), ("a|b", 0), ("*", 0), ("{n}", 0), ("17", 1)) for i in range(60)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, PAGES + ", bad int"), [], label="bad").select("_row.url", "verdict").distinct().collect()
+    assert {r["url"].split("/")[3]: r["verdict"] for r in out} == {"a": "block", "b": "block", "a|b": "allow", "*": "allow", "{n}": "allow", "17": "block"}
+
+
+def plain_purity(rows, config):
+    """Counts and backed-off shares of (host, segments, label) rows whose tree has no merging and no wildcards."""
+    labelled = [r for r in rows if r[2] is not None]
+    share = lambda some, p: (sum(r[2] for r in some) + config.smoothing * p) / (len(some) + config.smoothing)
+    out = {}
+    for host, segs, _ in rows:
+        n, p = len(labelled), sum(r[2] for r in labelled) / len(labelled)
+        for some in [*([r for r in labelled if r[1][:k] == segs[:k]] for k in range(1, len(segs) + 1)), [r for r in labelled if r[:2] == (host, segs)]]:
+            if len(some) != n:
+                n, p = len(some), share(some, p)
+        out[host, segs] = p
+    return out
+
+
+def test_purity_is_that_of_plain_counts(spark):
+    rng = random.Random(6)
+    rows = [(f"h{rng.randrange(3)}.net", tuple(rng.choice("abc") for _ in range(rng.randint(1, 3))), rng.choice([0, 1, 1, None])) for _ in range(300)]
+    config = url_filter.TreeConfig(similar_z=0.0, min_labelled=1000)
+    df = spark.createDataFrame([(i, f"http://{h}/{'/'.join(s)}", y) for i, (h, s, y) in enumerate(rows)], PAGES + ", bad int")
+    out = url_filter.filter_urls(df, [], config, label="bad").select("host", "path", "purity").collect()
+    want = plain_purity(rows, config)
+    for r in out:
+        assert abs(r["purity"] - want[r["host"], tuple(r["path"][1:].split("/"))]) < 1e-12
+
+
 def test_empty_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES), RULES).count() == 0
 
