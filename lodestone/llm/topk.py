@@ -5,14 +5,15 @@ and queries over query tiles, both of bounded size; each (tile, shard) pair is
 one cogroup that holds two bounded blocks. A block product is one matrix
 product; the k best of each query are picked from it by partial selection, and
 the lists are merged in a tree: groups of ``fan_in`` shards per round, until
-one list per query is left. No group grows with the data.
+one list per query is left. Rows are dealt one by one, not by their ids, so equal ids
+and equal rows spread over all shards, and no group grows with the data.
 
 Defined results: a vector that is null or holds a null, NaN or infinite
 component takes no part, as query or as candidate; neither do rows with a null
 id. An empty vector scores 0 with all. Vectors of unequal lengths are compared
 over the shorter length. Rows that share an id count as the same vector row of
-a query, so none of them is a candidate for it; a repeated query row gives one
-list. Ties go to the smaller id. Scores are exact: float64 products where every
+a query, so none of them is a candidate for it; a repeated query id gives one
+list, that of the least of its vectors. Other repeated rows are candidates each. Ties go to the smaller id. Scores are exact: float64 products where every
 sum stays below 2^53, integers of any size otherwise, clipped to the range of
 long. An empty table gives an empty result.
 """
@@ -90,8 +91,10 @@ def top_k(
     tiles, shards = max(1, math.ceil(counted["q"] / query_tile)), max(1, math.ceil(counted["n"] / shard_rows))
     dim = counted["d"] or 0
     spread = F.xxhash64("id")
-    rows = good.select("id", "v", F.pmod(spread, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    asked = good.where("q").dropDuplicates(["id"]).select(
+    # The number of a row is the same each time that its partition is read.
+    rows = good.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("id", "v", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    asked = good.where("q").groupBy("id").agg(F.min("v").alias("v")).select(
         F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(spread, F.lit(tiles)).cast("int").alias("tile")
     )
 

@@ -149,6 +149,21 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute(rows, 5)
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = random.Random(5)
+    rows = [(7, [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(150)] + [(8, [0.9] * 4)] * 150 + [(50, [1.0] * 4), (50, [-1.0] * 4)] + [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, query_tile=3, shard_rows=16, fan_in=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    floored = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    assert set(got) == {50, 100, 150}
+    for q, found in got.items():
+        own = min((v for i, v in floored if i == q), key=tuple)
+        want = sorted((-int(own @ v), i) for i, v in floored if i != q)[:5]
+        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_top_k_large_numbers_and_few_rows(spark):
     rows = [(0, [1e6, 2e6]), (1, [3e6, -1e6]), (2, [1e6 + 1, 2e6])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
