@@ -6,9 +6,15 @@ cost does not depend on the ratio of the sizes. ``dhash`` compares neighbouring
 cells of a 9 by 8 reduction. ``media_features`` applies them to a binary column
 in Arrow batches; one image at a time is in memory.
 
+Samples of other depths are scaled to all of 8 bits, those of more than 8 to all
+of 16; a tile has 8 bits in any case.
+
 Defined results: null or undecodable bytes give a row whose other columns are
-null (``error`` says why). An empty table gives an empty result, repeated rows
-a row each. For texts, null counts as empty.
+null (``error`` says why); so do images without rows or columns, headers that
+claim more samples than there are bytes for, and samples above the header's
+largest. An empty table gives an empty result, repeated rows a row each. For
+texts, null counts as empty; an image of any length is held whole, with 16 bytes
+a sample while it is resized.
 """
 
 from __future__ import annotations
@@ -59,6 +65,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height, top = (*head, 1)[:3]
     depth = 3 if kind in b"36" else 1
+    _check_size(width, height, width * height * depth, data)
+    if not 0 < top < 1 << 16:
+        raise ValueError("largest sample out of range")
     if kind in b"123":
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
         flat = np.frombuffer(re.sub(rb"\s", b"", body), np.uint8) - 48 if kind == b"1" else np.array(body.split(), np.int64)
@@ -73,17 +82,33 @@ def _netpbm(data: bytes) -> np.ndarray:
             flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, width * height * depth, at)
     if flat.size != width * height * depth:
         raise ValueError("too few samples")
-    flat = flat.astype(np.uint16 if top > 255 else np.uint8, copy=False)
     if kind in b"14":
-        flat = (1 - flat) * np.uint8(255)  # a set bit is black
+        flat = (1 - flat.astype(np.uint8)) * np.uint8(255)  # a set bit is black
+    elif top == 255 and flat.dtype == np.uint8:
+        pass
+    elif flat.min() < 0 or flat.max() > top:
+        raise ValueError("a sample out of range")
+    else:
+        full = 65535 if top > 255 else 255
+        flat = np.rint(flat * (full / top)).astype(np.uint16 if top > 255 else np.uint8)
     return flat.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
+def _check_size(width: int, height: int, samples: int, data: bytes) -> None:
+    if width <= 0 or height <= 0:
+        raise ValueError("an image without rows or columns")
+    if samples > 8 * len(data):  # one bit a sample at least
+        raise ValueError("too few samples")
+
+
 def _bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, bits, packing = struct.unpack_from("<I I i i H H I", data, 10)
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("only uncompressed BMP files")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    _check_size(width, rows, width * rows, data)
+    if start < 14 + size:
+        raise ValueError("broken BMP header")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if bits >= 24:
         out = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
@@ -138,7 +163,8 @@ def npy(tile: np.ndarray) -> bytes:
 def tile_of(image: np.ndarray, side: int = TILE) -> bytes:
     """An NPY file of the side by side reduction, 8-bit, channels kept."""
     planes = [image] if image.ndim == 2 else [image[:, :, c] for c in range(image.shape[2])]
-    small = [np.clip(np.rint(area_resize(p, side, side)), 0, 255).astype(np.uint8) for p in planes]
+    scale = 257.0 if image.dtype == np.uint16 else 1.0
+    small = [np.clip(np.rint(area_resize(p, side, side) / scale), 0, 255).astype(np.uint8) for p in planes]
     return npy(small[0] if image.ndim == 2 else np.stack(small, axis=2))
 
 
@@ -155,7 +181,7 @@ def media_features(df: DataFrame, media: str, side: int = TILE) -> DataFrame:
                 try:
                     image = decode(data.as_buffer().to_pybytes() if data.is_valid else b"")
                     out.append((*image.shape[:2], dhash(grey(image)), tile_of(image, side), None))
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, struct.error, IndexError, ArithmeticError) as e:
                     out.append((None, None, None, None, str(e)))
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]

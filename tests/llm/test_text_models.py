@@ -183,6 +183,31 @@ def test_media_column(spark):
     assert got[2]["tile"] is None and got[2]["error"] and got[3]["error"]
 
 
+def tile_value(data):
+    import io
+
+    return np.load(io.BytesIO(media.tile_of(media.decode(data)))).flat[0]
+
+
+def test_samples_of_other_depths_are_scaled():
+    assert tile_value(b"P5\n1 1\n15\n\x0f") == 255 and tile_value(b"P2\n1 1\n15\n3\n") == 51
+    assert tile_value(b"P5\n1 1\n65535\n" + (1000).to_bytes(2, "big")) == 4
+    assert tile_value(b"P5\n1 1\n65535\n\xff\xff") == 255 and tile_value(b"P2 1 1 1000 1000") == 255
+
+
+def test_broken_images_give_errors(spark):
+    broken = [
+        b"P5 0 0\n255\n", b"P5 0 5\n255\n", b"P6 99999999999 99999999999\n255\n" + b"x" * 50, b"P4 4000000000 4000000000\n", b"P5 2 2\n0\nabcd", b"P5 2 2\n70000\nabcd",
+        b"P2 1 1 15 16", b"P2 1 1 255 99999999999999999999999", b"P2 1 1 255 x", b"P", b"BM", b"BM" + b"\xff" * 60, b"P" + b"9" * 30, b"P5 " + b"9" * 6000,
+        struct.pack("<2sIHHI", b"BM", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 0, 0, 1, 24, 0, 0, 0, 0, 0, 0),
+        struct.pack("<2sIHHI", b"BM", 54, 0, 0, 20) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 8, 0, 0, 0, 0, 0, 0) + bytes(64),
+    ]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(broken)], "error long, image binary")
+    got = media.media_features(df, "image").collect()
+    assert len(got) == len(broken) and all(r["error"] and r["tile"] is None and r["dhash"] is None for r in got)
+    assert media.media_features(df.limit(0), "image").count() == 0
+
+
 def random_texts(n, seed):
     rng = random.Random(seed)
     chars = "abcdething  \n.ÀÉß1290éñ▁🙂x'\t"
