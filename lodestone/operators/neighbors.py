@@ -3,7 +3,9 @@
 A grid join first meets on cell ids and then applies the exact predicate, so
 Spark sees an equi-join. For neighbours, each round doubles the cell size and
 keeps only the rows that are not finished: a row is finished when its k-th
-distance is at most the cell size, as the 27 cells around it reach that far.
+distance is at most the cell size, as the 27 cells around it reach that far. The
+first cell size is that at which occupied cells hold a few points on average, so
+points on a surface, and far points around a dense cloud, are no exception.
 """
 
 from __future__ import annotations
@@ -30,7 +32,21 @@ def extent(df: DataFrame) -> tuple[float, int]:
     return max((v or 0.0) for v in row[:3]), row[3]
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False, per_cell: float = 4.0) -> DataFrame:
+def cell_size(points: DataFrame, per_cell: float, halvings: int = 40) -> float:
+    """The least of a series of halved cell sizes at which occupied cells hold ``per_cell`` points on average; 0 without an extent.
+
+    One pass: distinct cells of all sizes are counted approximately, a row a size from each task.
+    """
+    side, n = extent(points)
+    if not n or side <= 0:
+        return 0.0
+    sizes = F.explode(F.array(*(F.lit(side / 2.0**h) for h in range(halvings + 1)))).alias("size")
+    cell = F.xxhash64(*(F.floor(F.col(c) / F.col("size")).cast("long") for c in geo.AXES))
+    counted = points.select(*geo.AXES, sizes).groupBy("size").agg(F.approx_count_distinct(cell, 0.05).alias("cells"))
+    return counted.where(F.col("cells") * per_cell <= n).agg(F.min("size")).first()[0] or side
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False, per_cell: float = 2.0) -> DataFrame:
     """pid, neighbor, d2 and rank: the k nearest points of each query, ties to the smaller pid.
 
     Both inputs have pid, x, y, z. With ``same`` the point of a query's own pid
@@ -40,8 +56,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False, per_c
     q = queries.where(ok).select("pid", *geo.AXES)
     p = points.where(ok).select(F.col("pid").alias("neighbor"), *geo.AXES)
     reach, _ = extent(q.select(*geo.AXES).unionByName(p.select(*geo.AXES)))
-    side, n = extent(p.select(*geo.AXES))
-    size = max(side / max(1.0, (n / per_cell) ** (1 / 3)), 1e-9)
+    size = max(cell_size(p.select(*geo.AXES), per_cell), 1e-9) or reach
     best = Window.partitionBy("pid").orderBy("d2", "neighbor")
     todo, done = q, None
     while True:

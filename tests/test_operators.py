@@ -228,3 +228,17 @@ def test_scheduler_query_reads_all_nodes(spark, monkeypatch):
     monkeypatch.setattr(cut_scheduler, "schedule", lambda errors, *a: given.append(errors) or schedule(errors, *a))
     assert registry.queries()["cut02_scheduler"](spark, "/root/testdata/sf0.01").count() > 0
     assert given[0].select("node_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+
+
+@pytest.mark.parametrize("kind", ["far", "equal", "plane"])
+def test_neighbours_of_uneven_clouds(spark, kind):
+    rng = random.Random(11)
+    xyz = [(rng.random(), rng.random(), 0.0 if kind == "plane" else rng.random()) for _ in range(200)]
+    xyz = [(0.5, 0.5, 0.5)] * 60 if kind == "equal" else xyz + [(1e6, 0.0, 0.0)] * (kind == "far")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(xyz)], "pid long, x double, y double, z double")
+    got = {(r["pid"], r["rank"]): r["neighbor"] for r in neighbors.knn(df, df, 3, same=True).collect()}
+    for i, p in enumerate(xyz):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), j) for j, q in enumerate(xyz) if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in want]
+    size = neighbors.cell_size(df.select("x", "y", "z"), 4.0)
+    assert size < 1.0 if kind != "equal" else size == 0.0
