@@ -6,7 +6,7 @@ from lodestone.plans import registry
 
 from oracle import both
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -18,7 +18,7 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_gives_rows(spark, name):
     df = registry.queries()[name](spark, SF)
-    rows = df.collect()
+    rows = df.collect() or registry.queries()[name](spark, LARGER).collect()  # rays may hit none of few disks
     assert rows and len(set(df.columns)) == len(df.columns)
     for c in df.columns:
         assert any(r[c] is not None for r in rows), c
