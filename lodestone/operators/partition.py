@@ -1,8 +1,8 @@
 """Trees and cells: equal-run splits, downsweep, octrees, voxel thinning and balanced splits.
 
 Ranks within a node never come from one window over the node: rows fall into
-value buckets, bucket counts give offsets, and only the rows of one bucket are
-ranked together. So the first tree levels, where a node holds everything, are
+value buckets of bounded size, bucket counts give offsets, and only the rows of
+one bucket are ranked together. So the first tree levels, where a node holds everything, are
 as parallel as the last.
 """
 
@@ -41,17 +41,46 @@ def shortest_axis(low: tuple[Column, ...], high: tuple[Column, ...]) -> Column:
     return F.when((dx <= dy) & (dx <= dz), 0).when(dy <= dz, 1).otherwise(2)
 
 
+def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 4096) -> DataFrame:
+    """Adds ``n``, the rows of the group, and ``_before``, those in buckets ahead of the row's own, which names its bucket.
+
+    Buckets are even ranges of a group's values. Those with over four times the
+    wanted rows are cut again between their own ends, or those of the tie where
+    all values are equal, until none is left: so neither one common value nor
+    one far value makes a large bucket. Only rows equal in value and tie, and
+    groups with infinite values, stay together.
+    """
+    own = [by, "_before"]
+    ends = [f(c).alias(f"_{m}{k}") for k, c in enumerate((value, tie)) for m, f in (("lo", F.min), ("hi", F.max))]
+    spread = F.col("_hi0") > F.col("_lo0")
+    splits = F.when(spread, F.col("_hi0") - F.col("_lo0") < float("inf")).otherwise(F.col("_hi1") > F.col("_lo1"))
+    part = lambda c, k: (F.col(c) - F.col(f"_lo{k}")) / (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
+    place = F.when(splits, F.when(spread, part(value, 0)).otherwise(part(tie, 1))).otherwise(0.0)
+    last = F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_bucket)) - 1
+    bucket = F.when(F.col("_n").isNull(), 0).otherwise(F.least(F.floor(place * (last + 1)), last)).cast("long")
+    ahead = F.coalesce(F.sum("_c").over(Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    at = df.withColumn("_before", F.lit(0).cast("long"))
+    span = at.groupBy(*own).agg(F.count("*").alias("_n"), *ends)
+    at = at.join(span.select(by, F.col("_n").alias("n")), by)
+    names = at.columns
+    while True:
+        at = at.join(span, own, "left").withColumn("_b", bucket).select(*names, "_b")
+        sizes = cut(at.groupBy(*own, "_b").agg(F.count("*").alias("_c")), "buckets").withColumn("_ahead", ahead)
+        at = at.join(sizes.drop("_c"), [*own, "_b"]).withColumn("_before", F.col("_before") + F.col("_ahead")).select(*names)
+        large = sizes.where(F.col("_c") > 4 * rows_per_bucket).select(by, (F.col("_before") + F.col("_ahead")).alias("_before"))
+        if large.isEmpty():
+            return at
+        at = cut(at, "buckets")
+        span = cut(at.join(large, own, "left_semi").groupBy(*own).agg(F.count("*").alias("_n"), *ends).where(splits), "spans")
+        if span.isEmpty():
+            return at
+
+
 def ranked(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 4096) -> DataFrame:
     """Adds ``n`` (rows of the group) and ``rank`` (from 1, by value and tie), bucket by bucket."""
-    span = df.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bucket))
-    place = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    at = df.join(span, by).withColumn("_b", F.least(F.floor(place * buckets), buckets - 1).cast("long")).drop("_lo", "_hi")
-    sizes = at.groupBy(by, "_b").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.join(sizes.select(by, "_b", before.alias("_before")), [by, "_b"])
-    own = F.row_number().over(Window.partitionBy(by, "_b").orderBy(value, tie))
-    return at.withColumn("rank", F.col("_before") + own).drop("_b", "_before")
+    own = F.row_number().over(Window.partitionBy(by, "_before").orderBy(value, tie))
+    return bucketed(df, by, value, tie, rows_per_bucket).withColumn("rank", F.col("_before") + own).drop("_before")
 
 
 def run_of(rank: Column, n: Column, fan: int) -> Column:

@@ -242,3 +242,16 @@ def test_neighbours_of_uneven_clouds(spark, kind):
         assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in want]
     size = neighbors.cell_size(df.select("x", "y", "z"), 4.0)
     assert size < 1.0 if kind != "equal" else size == 0.0
+
+
+@pytest.mark.parametrize("value", ["id * 0.0", "id % 3 * 1.0", "if(id = 7, 1e12, id / 7.0)", "exp(id / 400.0)"])
+def test_ranks_of_ties_and_far_values(spark, value):
+    df = spark.range(8000).select(F.col("id").alias("pid"), (F.col("id") % 5 == 0).alias("g"), F.expr(f"double({value})").alias("v")).persist()
+    buckets = partition.bucketed(df, "g", "v", rows_per_bucket=50).groupBy("g", "_before").count()
+    assert buckets.agg(F.max("count")).first()[0] <= 200
+    got = partition.ranked(df, "g", "v", rows_per_bucket=50).toPandas()
+    want = df.toPandas().sort_values(["g", "v", "pid"])
+    want["rank"] = want.groupby("g").cumcount() + 1
+    both = got.merge(want, on=["g", "pid"])
+    assert len(got) == len(both) == 8000 and (both["rank_x"] == both["rank_y"]).all()
+    assert (got["n"] == got.groupby("g")["pid"].transform("size")).all()
