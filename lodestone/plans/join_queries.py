@@ -149,7 +149,10 @@ def octree_lookup(spark, d) -> DataFrame:
     return partition.octree_lookup(orders_cloud(spark, d), partition.octree_leaves(p, 6, 16), partition.cube(p), 6)
 
 
-@query("jn11_octree_lookup_closed")
+CLOSED = LOOKUP.replace("< lx + e", "<= lx + e").replace("< ly + e", "<= ly + e").replace("< lz + e", "<= lz + e")
+
+
+@query("jn11_octree_lookup_closed", f"WITH {PARTS_SQL}, {ORDERS_SQL}, {CLOSED} SELECT cloud2.pid, coalesce(h.level, 0) AS level, coalesce(h.leaf, 0) AS leaf FROM cloud2 LEFT JOIN h ON h.pid = cloud2.pid")
 def octree_lookup_closed(spark, d) -> DataFrame:
     p = parts(spark, d).select("pid", *AXES)
     return partition.octree_lookup(orders_cloud(spark, d), partition.octree_leaves(p, 6, 16), partition.cube(p), 6, closed=True)

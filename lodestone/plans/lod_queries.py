@@ -76,7 +76,12 @@ def downsweep(spark, d) -> DataFrame:
     return partition.downsweep(surfels(spark, d).select("pid", *AXES), 4).select("pid", "node_id")
 
 
-@query("srt05_tree_size")
+@query(
+    "srt05_tree_size",
+    s(""", n AS (SELECT count(*) AS n FROM surfels), c AS (SELECT n, CAST(unnest([64, 256, 1024, 4096]) AS INTEGER) AS k FROM n), f AS (SELECT n, k, CAST(unnest(range(2, 9)) AS INTEGER) AS fan FROM c),
+    d AS (SELECT n, k, fan, len(list_filter(range(0, 64), lambda i: n / pow(fan, i) > k)) AS depth FROM f), e AS (SELECT n, k, fan, CAST(unnest([depth, greatest(depth - 1, 0)]) AS INTEGER) AS depth FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY abs(k - n / pow(fan, depth)), fan, depth) AS rn FROM e) SELECT n, k AS surfels_per_node, fan, depth FROM r WHERE rn = 1"""),
+)
 def tree_size(spark, d) -> DataFrame:
     n = surfels(spark, d).count()
     return spark.createDataFrame([(n, k, *partition.choose_tree(n, k, 8)) for k in (64, 256, 1024, 4096)], "n long, surfels_per_node int, fan int, depth int")
@@ -105,13 +110,38 @@ def balanced_split(spark, d) -> DataFrame:
     return out.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("srt11_halved")
+def halved_sql(levels: int, most: int) -> str:
+    """CTEs h0 .. h<levels>: a part with more than ``most`` rows is halved on its longest axis."""
+    out = ["h0 AS (SELECT pid, x, y, z, CAST(1 AS BIGINT) AS part FROM parts)"]
+    for i in range(levels):
+        box = "max(x) OVER w - min(x) OVER w AS ex, max(y) OVER w - min(y) OVER w AS ey, max(z) OVER w - min(z) OVER w AS ez, count(*) OVER w AS n"
+        out.append(f"i{i} AS (SELECT *, {box} FROM h{i} WINDOW w AS (PARTITION BY part))")
+        out.append(f"j{i} AS (SELECT *, CASE WHEN ex >= ey AND ex >= ez THEN x WHEN ey >= ez THEN y ELSE z END AS v FROM i{i})")
+        out.append(f"h{i + 1} AS (SELECT pid, x, y, z, CASE WHEN n > {most} THEN part * 2 + ntile(2) OVER (PARTITION BY part ORDER BY v, pid) - 1 ELSE part END AS part FROM j{i})")
+    return ", ".join(out)
+
+
+@query("srt11_halved", f"WITH {PARTS_SQL}, {halved_sql(12, 300)} SELECT pid, part FROM h12")
 def halved(spark, d) -> DataFrame:
     out = partition.halved(parts(spark, d).select("pid", *AXES), 300)
     return out.select("pid", "part")
 
 
-@query("srt14_regularized")
+_CELL = ", ".join(f"CAST(greatest(0, least((1 << dep) - 1, floor((p.{c} - l{c}) / e * (1 << dep)))) AS BIGINT) AS i{c}" for c in AXES)
+_BITS = " + ".join(f"((((i{c} >> (dep - level)) >> CAST(i AS INTEGER)) & 1) << CAST(3 * i + {k} AS INTEGER))" for k, c in enumerate(AXES))
+_CENTER = ", ".join(f"round(l{c} + ((i{c} >> (dep - level)) + 0.5) * (e / pow(2, level)), 5) + 0.0 AS {c}" for c in AXES)
+
+
+@query(
+    "srt14_regularized",
+    s(f""", b AS (SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz FROM surfels),
+    c AS (SELECT e, mx - e / 2 AS lx, my - e / 2 AS ly, mz - e / 2 AS lz, CAST(len(list_filter(range(0, 20), lambda i: e / pow(2, i) > 4.0)) AS INTEGER) AS dep FROM b),
+    k AS (SELECT p.pid, c.*, {_CELL} FROM surfels p, c), u AS (SELECT k.*, CAST(unnest(range(0, dep + 1)) AS INTEGER) AS level FROM k),
+    v AS (SELECT *, count(*) OVER (PARTITION BY level, ix >> (dep - level), iy >> (dep - level), iz >> (dep - level)) AS n FROM u),
+    w AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY level) AS rn FROM v WHERE n <= 1 OR level = dep),
+    m AS (SELECT level, n, {_CENTER}, coalesce(CAST(list_sum(list_transform(range(0, level), lambda i: {_BITS})) AS BIGINT), 0) AS leaf FROM w WHERE rn = 1)
+    SELECT DISTINCT level, leaf, n, x, y, z, 4.0 AS radius FROM m"""),
+)
 def regularized(spark, d) -> DataFrame:
     return rounded(partition.regularized(surfels(spark, d), 4.0).select("level", "leaf", "n", *AXES, "radius"), 5)
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from lodestone.plans import join_queries, lod_queries, scalar_queries, set_queries, source_queries  # noqa: F401
+    from lodestone.plans import format_queries, join_queries, lod_queries, scalar_queries, set_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

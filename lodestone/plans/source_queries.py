@@ -13,28 +13,31 @@ from lodestone.sources import structured, text
 POINT = """round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b"""
 
 
-def _lines(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in cols)).alias("value"))
+def _points(spark, df: DataFrame, layout: str, *cols: str) -> DataFrame:
+    """Points of text files that hold the columns of df; the files' ending names the layout."""
+    lines = df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in cols)).alias("value"))
+    lines.write.text(path := scratch_path(spark, f"points.{layout}"))
+    return text.read_points(spark, path)
 
 
 @query("src01_xyz", f"WITH {SURFELS_SQL} SELECT x, y, z, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, 255 AS a, 0.0 AS radius FROM surfels")
 def xyz(spark, d) -> DataFrame:
-    return text.parse_points(_lines(surfels(spark, d), "x", "y", "z", "r", "g", "b"), "xyz").select("x", "y", "z", "r", "g", "b", "a", "radius")
+    return _points(spark, surfels(spark, d), "xyz", "x", "y", "z", "r", "g", "b").select("x", "y", "z", "r", "g", "b", "a", "radius")
 
 
 @query("src02_xyz_all", f"WITH {SURFELS_SQL} SELECT x, y, z, nx, ny, nz, CAST(r AS INTEGER) AS r, radius FROM surfels")
 def xyz_all(spark, d) -> DataFrame:
-    return text.parse_points(_lines(surfels(spark, d), "x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "radius"), "xyz_all").select("x", "y", "z", "nx", "ny", "nz", "r", "radius")
+    return _points(spark, surfels(spark, d), "xyz_all", "x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "radius").select("x", "y", "z", "nx", "ny", "nz", "r", "radius")
 
 
 @query("src03_xyz_cpn", f"WITH {SURFELS_SQL} SELECT x, y, z, CAST(b AS INTEGER) AS b, radius, nz FROM surfels")
 def xyz_cpn(spark, d) -> DataFrame:
-    return text.parse_points(_lines(surfels(spark, d), "x", "y", "z", "r", "g", "b", "radius", "nx", "ny", "nz"), "xyz_cpn").select("x", "y", "z", "b", "radius", "nz")
+    return _points(spark, surfels(spark, d), "xyz_cpn", "x", "y", "z", "r", "g", "b", "radius", "nx", "ny", "nz").select("x", "y", "z", "b", "radius", "nz")
 
 
 @query("src04_xyz_grey", f"WITH {SURFELS_SQL} SELECT x, y, z, CAST(r AS INTEGER) AS r, CAST(r AS INTEGER) AS g, CAST(r AS INTEGER) AS b FROM surfels")
 def xyz_grey(spark, d) -> DataFrame:
-    return text.parse_points(_lines(surfels(spark, d), "x", "y", "z", "r"), "xyz_grey").select("x", "y", "z", "r", "g", "b")
+    return _points(spark, surfels(spark, d), "xyz_grey", "x", "y", "z", "r").select("x", "y", "z", "r", "g", "b")
 
 
 @query("src07_provenance", "SELECT l_orderkey AS k, CAST(len([l_tax, l_discount]) AS INTEGER) AS n, round(CAST(CAST(l_tax AS FLOAT) AS DOUBLE), 5) AS first FROM lineitem")
@@ -84,9 +87,9 @@ def tables(spark, d) -> DataFrame:
     return rounded(text.parse_table(lines.unionByName(noise), "worldPointDetectionError").select("point_id", "error"), 4)
 
 
-@query("src06_ply")
+@query("src06_ply", f"WITH {PARTS_SQL} SELECT row_number() OVER (ORDER BY pid) - 1 AS ordinal, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM parts")
 def ply(spark, d) -> DataFrame:
-    """Parts as an ASCII PLY file and back."""
+    """Parts as one ASCII PLY file and back; a file of this format has one count of vertices, so one task writes it."""
     path = scratch_path(spark, "ply")
     p = parts(spark, d)
     n = p.count()
@@ -111,7 +114,10 @@ def parquet_sink(spark, d) -> DataFrame:
     return spark.read.parquet(f"{path}/nodes").select("pid", "x", "y", "z", "radius", "node")
 
 
-@query("prj24_provenance_schema")
+@query(
+    "prj24_provenance_schema",
+    "SELECT CAST(i AS INTEGER) AS i, name, 'float' AS type FROM (VALUES (0, 'mean_absolute_deviation'), (1, 'standard_deviation'), (2, 'coefficient_of_variation'), (3, 'value_0'), (4, 'value_1')) AS t(i, name)",
+)
 def provenance_schema(spark, d) -> DataFrame:
     schema = text.provenance_schema(text.provenance_descriptor(2))
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(schema.fields)], "i int, name string, type string")

@@ -1,13 +1,16 @@
 """Binary readers: fixed records, big-endian provenance, series dumps, bit sets, node-blocked files.
 
-``binaryFile`` gives whole files, one task each; fixed-width formats can also be
-read in slices of records by ``read_records``, which splits large files. Bytes
-become columns with numpy structured types in Arrow batches.
+``binaryFile`` gives whole files, one task each; files of fixed records are read
+in slices, so large ones are split. Files are written by the executors, from
+bounded groups of rows. Bytes become columns with numpy structured types.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -33,20 +36,76 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_records(spark: SparkSession, path: str, layout: list, header: int = 0, column: str = "ordinal") -> DataFrame:
-    """Fixed-width records of files after a header, with their file and ordinal."""
+def store(path: str):
+    """File system and path within it of a URI or a plain path, for the executors."""
+    from pyarrow import fs
+
+    if ":" not in path.split("/", 1)[0]:
+        path = "file://" + path
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def write_files(named: DataFrame, path: str) -> int:
+    """Write each row (name, content) as a file of the folder; gives the number of files.
+
+    The executors write. A file gets its name when it is whole, so a task that
+    runs twice leaves one file.
+    """
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                _put(path, name, [content])
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return named.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _put(folder: str, name: str, pieces) -> None:
+    files, at = store(folder)
+    files.create_dir(at, recursive=True)
+    with files.open_output_stream(part := f"{at}/.{name}-{uuid.uuid4().hex}") as out:
+        for piece in pieces:
+            out.write(piece)
+    files.move(part, f"{at}/{name}")
+
+
+def write_records(df: DataFrame, layout: list, path: str, order: str, rows_per_file: int = 1_000_000) -> None:
+    """Fixed records in files whose names follow the order, about ``rows_per_file`` each, streamed by the executors."""
+    names = [n for n, _ in layout]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        frames = (pack_records(b, layout) for b in batches)
+        first = next(frames, None)
+        if first is not None:
+            _put(path, f"part-{TaskContext.get().partitionId():08d}.bin", itertools.chain([first], frames))
+        yield pd.DataFrame({"n": [1]})
+
+    n = -(-df.count() // rows_per_file) or 1
+    sorted_ = df.repartitionByRange(n, order).sortWithinPartitions(order)
+    sorted_.select(*names).mapInPandas(run, "n long").agg(F.sum("n")).first()
+
+
+def read_records(spark: SparkSession, path: str, layout: list, header: int = 0, column: str = "ordinal", slice_rows: int = 1_000_000) -> DataFrame:
+    """Fixed-width records of files after a header, with their file and ordinal. Only names and sizes are listed; a slice of a file is one row to a task."""
     kind = np.dtype(layout)
+    sizes = spark.read.format("binaryFile").load(path).select("path", F.floor((F.col("length") - header) / kind.itemsize).alias("n")).where("n > 0")
+    slices = sizes.select("path", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(slice_rows))).alias("lo"))
 
     def run(batches):
         for b in batches:
-            for at, content in zip(b["path"], b["content"], strict=True):
-                n = (len(content) - header) // kind.itemsize
-                for lo in range(0, n, 100_000):
-                    m = min(100_000, n - lo)
-                    rows = _frame(np.frombuffer(content, kind, m, header + lo * kind.itemsize))
-                    yield rows.assign(path=at, **{column: np.arange(lo, lo + m)})[["path", column, *kind.names]]
+            for at, n, lo in zip(b["path"], b["n"], b["lo"], strict=True):
+                files, name = store(at)
+                end = min(n, lo + slice_rows)
+                with files.open_input_file(name) as f:
+                    for i in range(lo, end, 100_000):
+                        m = min(100_000, end - i)
+                        rows = _frame(np.frombuffer(f.read_at(m * kind.itemsize, header + i * kind.itemsize), kind))
+                        yield rows.assign(path=at, **{column: np.arange(i, i + m)})[["path", column, *kind.names]]
 
-    return files(spark, path).mapInPandas(run, f"path string, {column} long, {_ddl(layout)}")
+    return slices.repartition(max(1, min(slices.count(), 10_000))).mapInPandas(run, f"path string, {column} long, {_ddl(layout)}")
 
 
 def read_xyz_bin(spark: SparkSession, path: str) -> DataFrame:
@@ -83,10 +142,10 @@ def write_dense(points: pd.DataFrame, meta_width: int) -> bytes:
     return framed(struct.pack(">II", len(points), meta_width) + pack_records(points, DENSE))
 
 
-def write_dense_meta(rows: list[tuple[float, list[int], list[int]]]) -> tuple[bytes, int]:
-    """The side file (consistency, counted seen and unseen images, padded to one width) and that width."""
+def write_dense_meta(rows: list[tuple[float, list[int], list[int]]], width: int = 12) -> tuple[bytes, int]:
+    """The side file (consistency, counted seen and unseen images, padded to one width of at least ``width``) and that width."""
     out = [struct.pack(">fI", ncc, len(s)) + np.array(s, ">u4").tobytes() + struct.pack(">I", len(u)) + np.array(u, ">u4").tobytes() for ncc, s, u in rows]
-    width = max(map(len, out), default=12)
+    width = max([width, *map(len, out)])
     return framed(b"".join(x.ljust(width, b"\0") for x in out)), width
 
 
@@ -125,8 +184,9 @@ def read_dense_meta(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def dense_with_meta(points: DataFrame, meta: DataFrame) -> DataFrame:
-    """The positional zip of points and their side file, as a join on the ordinal."""
-    return points.join(meta.drop("path"), "pid")
+    """The positional zip of points and their side files (``a.prov`` and ``a.prov.meta``), as a join on file name and ordinal."""
+    stem = F.regexp_extract("path", r"([^/]*?)(\.meta)?$", 1)
+    return points.withColumn("_stem", stem).join(meta.select(stem.alias("_stem"), *(c for c in meta.columns if c != "path")), ["_stem", "pid"]).drop("_stem")
 
 
 _MEASURE = np.dtype([("camera", ">u2"), ("u", ">f4"), ("v", ">f4")])
@@ -216,7 +276,21 @@ def read_grid(spark: SparkSession, path: str, nodes: list[int]) -> DataFrame:
                 for node in np.flatnonzero(bits).tolist():
                     yield c, m, node
 
-    return _decoded(spark, path, decode, "cell_id long, model_id int, node_id long")
+    rows = _decoded(spark, path, decode, "cell_id long, model_id int, node_id long")
+    first = F.coalesce(F.regexp_extract("path", r"cells-(\d+)\.[a-z]+$", 1).try_cast("long"), F.lit(0))
+    return rows.withColumn("cell_id", F.col("cell_id") + first)
+
+
+def write_cells(visible: DataFrame, nodes: list[int], path: str, cells_per_file: int = 64) -> None:
+    """Visibility bits of (cell_id, model_id, node_id) in files of consecutive cells, named by the first; a cell has at most sum(nodes) rows."""
+
+    def run(pdf):
+        first = int(pdf["cell_id"].iloc[0]) // cells_per_file * cells_per_file
+        own = pdf.assign(cell_id=pdf["cell_id"] - first)
+        return pd.DataFrame({"name": [f"cells-{first:08d}.pvs"], "content": [write_grid(own, int(own["cell_id"].max()) + 1, nodes)]})
+
+    block = F.floor(F.col("cell_id") / cells_per_file)
+    write_files(visible.select("cell_id", "model_id", "node_id").groupBy(block).applyInPandas(run, "name string, content binary"), path)
 
 
 def write_grid(visible: pd.DataFrame, cells: int, nodes: list[int]) -> bytes:
@@ -230,16 +304,33 @@ def write_grid(visible: pd.DataFrame, cells: int, nodes: list[int]) -> bytes:
 
 
 def read_lod(spark: SparkSession, path: str, surfels_per_node: int, fields: list | None = None) -> DataFrame:
-    """A node-blocked file: every node has the same number of records; empty ones (radius 0) are padding."""
+    """Node-blocked files: every node has the same number of records; empty ones (radius 0) are padding."""
     rows = read_records(spark, path, fields or XYZ_BIN)
-    return rows.withColumn("node_id", F.floor(F.col("ordinal") / surfels_per_node)).where(F.col("radius") > 0)
+    first = F.coalesce(F.regexp_extract("path", r"nodes-(\d+)\.[a-z]+$", 1).try_cast("long"), F.lit(0))
+    return rows.withColumn("node_id", first + F.floor(F.col("ordinal") / surfels_per_node)).where(F.col("radius") > 0)
+
+
+def write_nodes(points: DataFrame, surfels_per_node: int, path: str, nodes_per_file: int = 1024) -> None:
+    """Node-blocked files of consecutive nodes, named by the first. A node with more points than its size is an error."""
+
+    def run(pdf):
+        first = int(pdf["node_id"].iloc[0]) // nodes_per_file * nodes_per_file
+        own = pdf.assign(node_id=pdf["node_id"] - first)
+        return pd.DataFrame({"name": [f"nodes-{first:08d}.lod"], "content": [write_lod(own, surfels_per_node)]})
+
+    block = F.floor(F.col("node_id") / nodes_per_file)
+    names = [n for n, _ in XYZ_BIN]
+    write_files(points.select("node_id", *names).groupBy(block).applyInPandas(run, "name string, content binary"), path)
 
 
 def write_lod(pdf: pd.DataFrame, surfels_per_node: int) -> bytes:
     """Nodes in order, each padded with empty records."""
     out = []
+    groups = dict(list(pdf.groupby("node_id")))
     for node in range(int(pdf["node_id"].max()) + 1 if len(pdf) else 0):
-        own = pdf[pdf["node_id"] == node]
+        own = groups.get(node, pdf.iloc[:0])
+        if len(own) > surfels_per_node:
+            raise ValueError(f"node {node} has {len(own)} points, its size is {surfels_per_node}")
         out.append(pack_records(own, XYZ_BIN) + bytes(np.dtype(XYZ_BIN).itemsize * (surfels_per_node - len(own))))
     return b"".join(out)
 

@@ -121,7 +121,7 @@ def sparse_to_views(points: DataFrame, cameras: DataFrame) -> tuple[DataFrame, D
 
 
 def read_patches(spark: SparkSession, patches: str, points: str) -> DataFrame:
-    """Patch records (consistency, seen and unseen images) in step with the vertices of a PLY file of the same order."""
+    """Patch records (consistency, seen and unseen images) in step with the vertices of the PLY file of the same name and order."""
     lines = _numbered(spark, patches)
     start = F.when(F.trim("value") == "PATCHS", 1).otherwise(0)
     lines = lines.withColumn("patch", F.sum(start).over(Window.partitionBy("path").orderBy("line")) - 1)
@@ -133,7 +133,9 @@ def read_patches(spark: SparkSession, patches: str, points: str) -> DataFrame:
     got = rows.groupBy("path", "patch").agg(
         pick(3, F.get(fields(F.col("value")), F.lit(0)).try_cast("float")).alias("ncc"), pick(5, ints).alias("seen"), pick(7, ints).alias("not_seen")
     )
-    return read_ply(spark, points).drop("path").join(got.withColumnRenamed("patch", "ordinal").drop("path"), "ordinal")
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("_stem")
+    got = got.select(stem, F.col("patch").alias("ordinal"), "ncc", "seen", "not_seen")
+    return read_ply(spark, points).select(stem, "*").join(got, ["_stem", "ordinal"]).drop("_stem")
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
@@ -158,11 +160,11 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
-    """Material names with their texture files."""
+    """Material names with their texture files, and the file that names them."""
     lines = _numbered(spark, path).withColumn("f", fields(F.col("value")))
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("material", F.last(F.when(F.get("f", F.lit(0)) == "newmtl", F.get("f", F.lit(1))), ignorenulls=True).over(before))
-    return lines.where(F.get("f", F.lit(0)) == "map_Kd").select("material", F.get("f", F.lit(1)).alias("texture"))
+    return lines.where(F.get("f", F.lit(0)) == "map_Kd").select("path", "material", F.get("f", F.lit(1)).alias("texture"))
 
 
 def parse_packing(lines: DataFrame, line: str = "line", value: str = "value") -> DataFrame:

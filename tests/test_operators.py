@@ -255,3 +255,23 @@ def test_ranks_of_ties_and_far_values(spark, value):
     both = got.merge(want, on=["g", "pid"])
     assert len(got) == len(both) == 8000 and (both["rank_x"] == both["rank_y"]).all()
     assert (got["n"] == got.groupby("g")["pid"].transform("size")).all()
+
+
+def test_records_in_slices_and_padded_nodes(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("pid"), *(F.col("id").cast("double").alias(c) for c in ("x", "y", "z", "r", "g", "b", "a", "radius", "nx", "ny", "nz")))
+    df = df.withColumns({c: F.col("pid") % 256 for c in "rgba"} | {"radius": F.col("pid") % 7 + 1.0})
+    binary.write_records(df, binary.XYZ_BIN, str(tmp_path / "r"), "pid", rows_per_file=300)
+    assert len(list((tmp_path / "r").glob("part-*.bin"))) == 4 and not list((tmp_path / "r").glob(".*"))
+    got = binary.read_records(spark, str(tmp_path / "r"), binary.XYZ_BIN, slice_rows=37).toPandas()
+    assert sorted(got["x"]) == list(range(1000))
+    for _, own in got.groupby("path"):
+        assert sorted(own["ordinal"]) == list(range(len(own))) and own.sort_values("ordinal")["x"].diff().dropna().eq(1).all()
+    empty = df.limit(0)
+    binary.write_records(empty, binary.XYZ_BIN, str(tmp_path / "e"), "pid")
+    assert binary.write_files(spark.createDataFrame([], "name string, content binary"), str(tmp_path / "e")) == 0
+    nodes = df.withColumn("node_id", F.floor(F.col("pid") / 10) * 2)
+    binary.write_nodes(nodes, 16, str(tmp_path / "n"), nodes_per_file=32)
+    rows = binary.read_lod(spark, str(tmp_path / "n"), 16).toPandas()
+    assert sorted(zip(rows["node_id"], rows["x"])) == sorted((int(i // 10 * 2), float(i)) for i in range(1000))
+    with pytest.raises(Exception, match="its size is 4"):
+        binary.write_nodes(nodes, 4, str(tmp_path / "m"))
