@@ -41,7 +41,7 @@ def shortest_axis(low: tuple[Column, ...], high: tuple[Column, ...]) -> Column:
     return F.when((dx <= dy) & (dx <= dz), 0).when(dy <= dz, 1).otherwise(2)
 
 
-def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 4096) -> DataFrame:
+def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 16384) -> DataFrame:
     """Adds ``n``, the rows of the group, and ``_before``, those in buckets ahead of the row's own, which names its bucket.
 
     Buckets are even ranges of a group's values. Those with over four times the
@@ -77,7 +77,7 @@ def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_buck
             return at
 
 
-def ranked(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 16384) -> DataFrame:
     """Adds ``n`` (rows of the group) and ``rank`` (from 1, by value and tie), bucket by bucket."""
     own = F.row_number().over(Window.partitionBy(by, "_before").orderBy(value, tie))
     return bucketed(df, by, value, tie, rows_per_bucket).withColumn("rank", F.col("_before") + own).drop("_before")
