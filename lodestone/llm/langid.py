@@ -29,10 +29,8 @@ Repeated rows get a row each, an empty table an empty result.
 
 from __future__ import annotations
 
-import pickle
 import re
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -216,8 +214,8 @@ def _batches(rows: Iterable[tuple[str, str]], known: dict[str, int], config: Lan
             texts, labels, held = [], [], 0
 
 
-def fit_texts(rows: Iterable[tuple[str, str]], languages: list[str], config: LangConfig) -> Model:
-    """Fit on (text, language) rows in the order given. Rows are read once; the batches' features wait in a file of the driver."""
+def fit_texts(rows: Callable[[], Iterable[tuple[str, str]]], languages: list[str], config: LangConfig) -> Model:
+    """Fit on (text, language) rows in the order given. Each pass reads them anew, so the driver holds one batch at a time."""
     languages = sorted(languages)
     known = {lang: i for i, lang in enumerate(languages)}
     k, size = len(languages), 1 << config.bits
@@ -225,30 +223,23 @@ def fit_texts(rows: Iterable[tuple[str, str]], languages: list[str], config: Lan
     squares, t_squares = np.full((size, k), 1e-6), np.full((k, k), 1.0)
     if k < 2:
         return Model(languages, emission.astype(np.float32), transition)
-    with tempfile.TemporaryFile() as ready:
-        n_batches = 0
-        for batch in _batches(rows, known, config):
-            pickle.dump(batch, ready, protocol=5)
-            n_batches += 1
-        for _ in range(config.passes):
-            ready.seek(0)
-            for _ in range(n_batches):
-                features, text_of, label = pickle.load(ready)
-                n = len(text_of)
-                scores = word_scores(features, emission)
-                fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
-                free, free_counts = marginals(scores, fresh, transition, counted=True)
-                scores[np.arange(n), label[text_of]] += config.bonus
-                tied, tied_counts = marginals(scores, fresh, transition, counted=True)
-                gap = tied - free
-                buckets = np.concatenate([x for x, _ in features])
-                for c in range(k):  # AdaGrad on the features of the batch
-                    g = np.bincount(buckets, np.concatenate([np.repeat(gap[:, c], count) for _, count in features]), minlength=size)
-                    squares[:, c] += g * g
-                    emission[:, c] += config.rate * g / np.sqrt(squares[:, c])
-                g = tied_counts - free_counts
-                t_squares += g * g
-                transition += config.rate * g / np.sqrt(t_squares)
+    for _ in range(config.passes):
+        for features, text_of, label in _batches(rows(), known, config):
+            n = len(text_of)
+            scores = word_scores(features, emission)
+            fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
+            free, free_counts = marginals(scores, fresh, transition, counted=True)
+            scores[np.arange(n), label[text_of]] += config.bonus
+            tied, tied_counts = marginals(scores, fresh, transition, counted=True)
+            gap = tied - free
+            buckets = np.concatenate([x for x, _ in features])
+            for c in range(k):  # AdaGrad on the features of the batch
+                g = np.bincount(buckets, np.concatenate([np.repeat(gap[:, c], count) for _, count in features]), minlength=size)
+                squares[:, c] += g * g
+                emission[:, c] += config.rate * g / np.sqrt(squares[:, c])
+            g = tied_counts - free_counts
+            t_squares += g * g
+            transition += config.rate * g / np.sqrt(t_squares)
     return Model(languages, emission.astype(np.float32), transition)
 
 
@@ -285,7 +276,8 @@ def label_words(text: str, model: Model, config: LangConfig = LangConfig()) -> l
 def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Model:
     """Train on the whole texts of documents (doc_id, text, lang) where ``learn`` holds: the ``sample`` with the smallest id
     hashes, and of each language the ``least_rows`` with the smallest, which are all rows of a rare language. The ids are
-    chosen on narrow columns. The driver reads the texts in pieces, one partition at a time."""
+    chosen on narrow columns. The texts wait in pieces in the shared scratch folder; each pass of the driver reads them one
+    partition at a time."""
     bounded_batches(docs.sparkSession)
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
@@ -311,7 +303,7 @@ def fit(docs: DataFrame, learn: Column, config: LangConfig = LangConfig()) -> Mo
     rows = saved(got.select(order, "text", "lang").mapInArrow(cut_up, "order long, piece int, text string, lang string"), "training")
     languages = [r["lang"] for r in rows.select("lang").distinct().collect()]
     ordered = rows.orderBy("order", "lang", "piece").select("text", "lang")
-    return fit_texts(((r["text"], r["lang"]) for r in ordered.toLocalIterator()), languages, config)
+    return fit_texts(lambda: ((r["text"], r["lang"]) for r in ordered.toLocalIterator()), languages, config)
 
 
 def predict(docs: DataFrame, model: Model, config: LangConfig = LangConfig(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
