@@ -103,7 +103,7 @@ def tree_natural_neighbours(points: DataFrame, k: int = 24) -> DataFrame:
                 near = np.array(ids)
                 local = np.array(p, float).T - (x, y, z)
                 apart = (local**2).sum(1) > 0
-                out += [(pid, j, w) for j, w in zip(near[apart], _plane_weights(local[apart]), strict=True) if w > 0]
+                out += [(pid, j, w) for j, w in zip(near[apart], plane_weights(local[apart]), strict=True) if w > 0]
             yield pd.DataFrame(out, columns=["pid", "neighbor", "weight"])
 
     # Few bytes but much work for each row, so the rows are dealt out whatever their size.
@@ -128,13 +128,13 @@ def natural_neighbours(points: DataFrame, group: str, k: int = 24) -> DataFrame:
             d[i] = np.inf
             near = np.argsort(d, kind="stable")[: min(k, len(pdf) - 1)]
             near = near[d[near] > 0]
-            out += [(pid[i], pid[j], x) for j, x in zip(near, _plane_weights(xyz[near] - xyz[i]), strict=True) if x > 0]
+            out += [(pid[i], pid[j], x) for j, x in zip(near, plane_weights(xyz[near] - xyz[i]), strict=True) if x > 0]
         return pd.DataFrame(out, columns=["pid", "neighbor", "weight"])
 
     return points.select(group, "pid", *geo.AXES).groupBy(group).applyInPandas(one, "pid long, neighbor long, weight double")
 
 
-def _plane_weights(local):
+def plane_weights(local):
     """Sibson weights of neighbours given relative to the point, in their plane; zeros for fewer than three."""
     import numpy as np
 
@@ -166,9 +166,13 @@ def _cell_weights(flat):
     for s in flat:
         cell = _clipped(cell, s, s @ s / 2)
     w = np.zeros(len(flat))
-    for i, s in enumerate(flat):
-        part = cell
-        for j, t in enumerate(flat):
+    # Only sites with a side or corner of the cell take a part of it, so only they bound each other's parts.
+    h = (flat**2).sum(1) / 2
+    beside = np.flatnonzero((np.array(cell) @ flat.T).max(axis=0) >= h * (1 - 1e-9)) if len(cell) > 2 else []
+    for i in beside:
+        s, part = flat[i], cell
+        for j in beside:
+            t = flat[j]
             if i != j and len(part) > 2:
                 part = _clipped(part, t - s, (t @ t - s @ s) / 2)
         if len(part) > 2:

@@ -19,9 +19,12 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.color import RGB_XYZ, WHITE
 from lodestone.functions.geometry import TURN
+from lodestone.operators.attributes import plane_weights
 
 COLUMNS = ["x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "radius"]
 OUT = "node_id long, " + ", ".join(f"{c} double" for c in COLUMNS)
+#: Nearest surfels among which natural neighbours are sought.
+NEAR = 24
 Reduce = Callable[[np.ndarray, int, np.random.Generator], np.ndarray]
 STRATEGIES: dict[str, Reduce] = {}
 
@@ -159,7 +162,10 @@ def random(rows: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarra
 
 @strategy("spatial_random")
 def spatial_random(rows: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarray:
-    """Eight divisions of the shortest axis; boxes give random members in turns; normals and colours are averaged over near ones."""
+    """Eight divisions of the shortest axis; boxes give random members in turns.
+
+    Normals and colours are means of the natural neighbours among the 24 nearest apart; a surfel without any keeps its own.
+    """
     if len(rows) <= budget:
         return rows.copy()
     span = np.ptp(rows[:, :3], axis=0)
@@ -174,11 +180,14 @@ def spatial_random(rows: np.ndarray, budget: int, rng: np.random.Generator) -> n
                 chosen.append(b.pop())
     out = rows[np.sort(chosen)].copy()
     for row in out:
-        d = ((rows[:, :3] - row[:3]) ** 2).sum(1)
-        near = np.argsort(d, kind="stable")[:8]
-        w = 1 / (np.sqrt(d[near]) + 1e-6)
-        row[6:9] = (rows[near, 6:9] * w[:, None]).sum(0) / w.sum()
-        row[3:6] = unit((rows[near, 3:6] * w[:, None]).sum(0))
+        local = rows[:, :3] - row[:3]
+        d = (local**2).sum(1)
+        apart = np.flatnonzero(d > 0)
+        near = apart[np.argsort(d[apart], kind="stable")[:NEAR]]
+        w = plane_weights(local[near])
+        if w.any():
+            row[6:9] = w @ rows[near, 6:9]
+            row[3:6] = unit(w @ rows[near, 3:6])
     return out
 
 

@@ -275,3 +275,30 @@ def test_records_in_slices_and_padded_nodes(spark, tmp_path):
     assert sorted(zip(rows["node_id"], rows["x"])) == sorted((int(i // 10 * 2), float(i)) for i in range(1000))
     with pytest.raises(Exception, match="its size is 4"):
         binary.write_nodes(nodes, 4, str(tmp_path / "m"))
+
+
+def test_spatial_random_interpolates_by_natural_neighbours():
+    """Sibson weights reproduce linear functions inside the hull: colours that are linear in the place stay as they are."""
+    x, y = np.meshgrid(np.arange(12.0), np.arange(12.0))
+    place = np.stack([x.ravel(), y.ravel()], axis=1) + np.random.default_rng(2).uniform(-0.3, 0.3, (144, 2))
+    rows = np.zeros((144, 10))
+    rows[:, :2], rows[:, 5], rows[:, 9] = place, 1, 1
+    rows[:, 6:9] = 10 * place[:, :1] + 3 * place[:, 1:] + [0, 5, 50]
+    # one surfel with another colour: the mean is of its neighbours, not of itself
+    rows[78, 6:9] = 0
+    inside = [78, *(i for i in range(144) if 1 < x.ravel()[i] < 10 and 1 < y.ravel()[i] < 10 and np.hypot(*(place[i] - place[78])) > 3)]
+    out = reductions.STRATEGIES["spatial_random"](rows, 143, np.random.default_rng(0))
+    checked = 0
+    for i in inside:
+        for got in out[np.all(out[:, :2] == place[i], axis=1)]:
+            assert np.allclose(got[6:9], 10 * place[i, 0] + 3 * place[i, 1] + np.array([0, 5, 50]), atol=1e-6)
+            assert np.allclose(got[3:6], [0, 0, 1])
+            checked += 1
+    assert checked > 10
+
+
+def test_spatial_random_without_neighbours():
+    rows = np.zeros((40, 10))
+    rows[:, 9], rows[:, 6] = 1, np.arange(40)
+    out = reductions.STRATEGIES["spatial_random"](rows, 5, np.random.default_rng(0))
+    assert len(out) == 5 and set(out[:, 6]) <= set(range(40))
