@@ -288,7 +288,10 @@ def points_features(spark, d) -> DataFrame:
     errors = o.where("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") / 10.0).alias("error"))
     seen = ln.select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("camera_id"), F.col("l_partkey").alias("feature_id")).distinct()
     s, p = read(spark, d, "supplier"), read(spark, d, "part")
-    feats = s.join(p, F.col("p_partkey") % 40 == F.col("s_suppkey") % 40).select(F.col("s_suppkey").alias("camera_id"), F.col("p_partkey").alias("feature_id"), F.col("s_acctbal").alias("u"), F.col("p_retailprice").alias("v"))
+    # Only features that are seen meet an observation, so suppliers and parts need not all meet.
+    cameras = s.select(F.col("s_suppkey").alias("camera_id"), F.col("s_acctbal").alias("u"))
+    features = p.select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").alias("v"))
+    feats = seen.select("camera_id", "feature_id").distinct().where(F.col("feature_id") % 40 == F.col("camera_id") % 40).join(cameras, "camera_id").join(features.hint("merge"), "feature_id")
     out = joins.points_with_features(points, errors, seen, feats)
     size = F.when(F.col("features").isNull(), -1).otherwise(F.size("features"))
     total = F.aggregate("features", F.lit(0.0), lambda a, f: a + f["u"])
