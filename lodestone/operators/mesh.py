@@ -25,13 +25,19 @@ def edges(tris: DataFrame) -> DataFrame:
 
 
 def adjacent(tris: DataFrame, by: str = "edge") -> DataFrame:
-    """Pairs tri_id < other that share an edge, or at least a vertex."""
-    if by == "edge":
-        one, key = edges(tris), ["u", "v"]
-    else:
-        one, key = tris.select("tri_id", F.explode(F.array("a", "b", "c")).alias("u")), ["u"]
-    two = one.withColumnRenamed("tri_id", "other")
-    return one.join(two, key).where("tri_id < other").select("tri_id", "other").distinct()
+    """Pairs tri_id < other that share an edge, or at least a vertex.
+
+    A pair is kept only where it meets on the least of what it shares, so it
+    comes once without a distinct: only the triangles are shuffled, not the pairs.
+    """
+    key = F.struct("u", "v") if by == "edge" else F.col("u")
+    one = edges(tris) if by == "edge" else tris.select("tri_id", F.explode(F.array("a", "b", "c")).alias("u"))
+    own = one.select("tri_id", key.alias("k")).where(F.col("u").isNotNull() & (F.col("v").isNotNull() if by == "edge" else F.lit(True)))
+    one = own.groupBy("tri_id").agg(F.collect_set("k").alias("ks")).select("tri_id", "ks", F.explode("ks").alias("k"))
+    one = one.select("tri_id", "k", F.filter("ks", lambda x: x < F.col("k")).alias("less"))
+    two = one.select(F.col("tri_id").alias("other"), F.col("less").alias("o_less"), "k")
+    first = (F.size("less") == 0) | (F.size("o_less") == 0) | ~F.arrays_overlap("less", "o_less")
+    return one.join(two.hint("merge"), "k").where((F.col("tri_id") < F.col("other")) & first).select("tri_id", "other")
 
 
 def connected(pairs: DataFrame, nodes: DataFrame, node: str = "tri_id") -> DataFrame:
@@ -213,17 +219,31 @@ def packed(rects: DataFrame, group: str, width: int) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "w", "rect_id"], ascending=[False, False, True], kind="stable")
-        shelves: list[list[int]] = []  # top, height, used width
+        # Heights fall, so a shelf is high enough for all that follow; the first with enough width is found in a tree of the free widths.
+        size = 1
+        free, tops, bottom = [-1, -1], [], 0
         out = []
         for r, w, h in pdf[["rect_id", "w", "h"]].itertuples(index=False):
-            for s in shelves:
-                if h <= s[1] and s[2] + w <= width:
-                    break
+            if free[1] >= w:
+                at = 1
+                while at < size:
+                    at *= 2
+                    at += free[at] < w
             else:
-                s = [shelves[-1][0] + shelves[-1][1] if shelves else 0, h, 0]
-                shelves.append(s)
-            out.append((r, s[2], s[0]))
-            s[2] += w
+                if len(tops) == size:  # room for twice the shelves
+                    size *= 2
+                    free = [-1] * size + free[size // 2 :] + [-1] * (size // 2)
+                    for at in range(size - 1, 0, -1):
+                        free[at] = max(free[2 * at], free[2 * at + 1])
+                at = size + len(tops)
+                tops.append(bottom)
+                bottom += h
+                free[at] = width
+            out.append((r, width - free[at], tops[at - size]))
+            free[at] -= w
+            while at > 1:
+                at //= 2
+                free[at] = max(free[2 * at], free[2 * at + 1])
         return pd.DataFrame(out, columns=["rect_id", "px", "py"]).assign(**{group: pdf[group].iloc[0]})[[group, "rect_id", "px", "py"]]
 
     return rects.groupBy(group).applyInPandas(one, f"{group} long, rect_id long, px long, py long")

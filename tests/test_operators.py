@@ -342,3 +342,34 @@ def test_spatial_random_without_neighbours():
     rows[:, 9], rows[:, 6] = 1, np.arange(40)
     out = reductions.STRATEGIES["spatial_random"](rows, 5, np.random.default_rng(0))
     assert len(out) == 5 and set(out[:, 6]) <= set(range(40))
+
+
+def test_adjacent_pairs_come_once_without_a_distinct(spark):
+    rows = [(1, 0, 1, 2), (2, 0, 1, 2), (3, 2, 1, 5), (4, 1, 0, 7), (4, 8, 9, 1), (5, 9, 8, 3)]
+    tris = spark.createDataFrame(rows, "tri_id long, a long, b long, c long")
+    for by, want in (("edge", {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (4, 5)}), ("vertex", {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (4, 5)})):
+        df = mesh.adjacent(tris, by)
+        pairs = [tuple(r) for r in df.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped after the pairs are made
+
+
+def test_packing_takes_the_first_shelf_with_room(spark):
+    import time
+
+    rng = random.Random(4)
+    rects = [(i % 2, i, rng.randint(1, 70), rng.randint(1, 9)) for i in range(700)]
+    got = {r["rect_id"]: (r["px"], r["py"]) for r in mesh.packed(spark.createDataFrame(rects, "page long, rect_id long, w long, h long"), "page", 64).collect()}
+    for page in (0, 1):
+        shelves = []
+        for _, i, w, h in sorted((r for r in rects if r[0] == page), key=lambda r: (-r[3], -r[2], r[1])):
+            s = next((s for s in shelves if s[1] + w <= 64), None)
+            if s is None:
+                shelves.append(s := [sum(x[2] for x in shelves), 0, h])
+            assert got[i] == (s[1], s[0])
+            s[1] += w
+    many = spark.range(60000).select(F.lit(0).cast("long").alias("page"), F.col("id").alias("rect_id"), F.lit(40).cast("long").alias("w"), F.lit(1).cast("long").alias("h"))
+    began = time.time()
+    assert mesh.packed(many, "page", 64).count() == 60000
+    assert time.time() - began < 30  # a walk over all shelves takes minutes
