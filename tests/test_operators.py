@@ -373,3 +373,24 @@ def test_packing_takes_the_first_shelf_with_room(spark):
     began = time.time()
     assert mesh.packed(many, "page", 64).count() == 60000
     assert time.time() - began < 30  # a walk over all shelves takes minutes
+
+
+def test_boxes_of_all_sizes_meet_once_in_bounded_cells(spark):
+    rng = np.random.default_rng(6)
+
+    def boxes(n, first):
+        low, edge = rng.random((n, 3)) * 100 - 50, 10.0 ** rng.uniform(-3, 3, (n, 1)) * rng.random((n, 3))
+        return pd.DataFrame(np.concatenate([low, low + edge], axis=1), columns=neighbors.CORNERS).assign(id=np.arange(first, first + n))
+
+    one, two = boxes(120, 0), boxes(150, 1000)
+    a, b = one[neighbors.CORNERS].to_numpy(), two[neighbors.CORNERS].to_numpy()
+    want = sorted((int(i), int(j) + 1000) for i, j in zip(*np.nonzero(((a[:, None, :3] <= b[None, :, 3:]) & (a[:, None, 3:] >= b[None, :, :3])).all(2)), strict=True))
+    df = neighbors.boxes_joined(spark.createDataFrame(one), spark.createDataFrame(two))
+    assert sorted(tuple(r) for r in df.collect()) == want
+    at = pd.DataFrame(a[:, :3], columns=list("xyz")).assign(pid=np.arange(120), radius=1.0)
+    inside = ((a[:, None, :3] >= b[None, :, :3]) & (a[:, None, :3] <= b[None, :, 3:])).all(2)
+    p = spark.createDataFrame(at)
+    assert sorted(tuple(r) for r in neighbors.in_boxes(p, spark.createDataFrame(two)).collect()) == sorted((int(i), int(j) + 1000) for i, j in zip(*np.nonzero(inside), strict=True))
+    got = {r["pid"]: r["radius"] for r in neighbors.spatial_anti_join(p, spark.createDataFrame(two)).collect()}
+    assert got == {i: 0.0 if inside[i].any() else 1.0 for i in range(120)}
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
