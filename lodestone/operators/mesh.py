@@ -8,6 +8,7 @@ pandas groups.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -124,51 +125,192 @@ def simplified(tris: DataFrame, vertices: DataFrame, group: str, ratio: float =
     return at.groupBy(group).applyInPandas(one, f"{group} long, tri_id long, " + ", ".join(f"{c}{k} double" for c in "abc" for k in "xyz"))
 
 
-def charts(tris: DataFrame, normals: DataFrame, pairs: DataFrame, group: str, threshold: float) -> DataFrame:
-    """tri_id -> chart: adjacent charts with the least joining cost merge first, while it is below the threshold.
+class _Kinds:
+    """Charts of one component by kind: those alike in edges, weight and area, which differ in their id only.
 
-    The cost is one minus the length of the area-weighted mean normal of the
-    union; a chart without area costs infinity, and a join that would leave
-    fewer than three neighbours is put off unless the chart is closed in.
+    Two kinds join at one cost, so of all their pairs only the one that is
+    next waits in the heap, and neither pairs nor neighbours are listed.
     """
-    at = tris.select("tri_id", group).join(normals.select("tri_id", "area", "nx", "ny", "nz"), "tri_id")
-    near = pairs.join(tris.select("tri_id", group), "tri_id").groupBy("tri_id").agg(F.collect_list("other").alias("others"))
-    at = at.join(near, "tri_id", "left")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["tri_id"].tolist()
-        weight = dict(zip(ids, pdf[["nx", "ny", "nz"]].to_numpy(float) * pdf[["area"]].to_numpy(float), strict=True))
-        area = dict(zip(ids, pdf["area"], strict=True))
-        near = {i: set() for i in ids}
-        for i, o in zip(ids, pdf["others"], strict=True):
-            for j in o if o is not None else ():
-                if j in near:
-                    near[i].add(int(j))
-                    near[int(j)].add(i)
-        own, version = {i: [i] for i in ids}, dict.fromkeys(ids, 0)
-        cost = lambda i, j: 1 - np.linalg.norm(weight[i] + weight[j]) / (area[i] + area[j]) if area[i] > 0 and area[j] > 0 else np.inf
-        heap = [(cost(i, j), i, j, 0, 0) for i in ids for j in near[i] if i < j]
-        heapq.heapify(heap)
-        while heap and heap[0][0] < threshold:
-            _, i, j, vi, vj = heapq.heappop(heap)
-            if i not in own or j not in own or version[i] != vi or version[j] != vj:
+    def __init__(self, threshold: float):
+        self.threshold, self.index, self.edges, self.weight, self.area = threshold, {}, [], [], []
+        self.ids, self.count, self.by_edge, self.kind, self.version = [], [], {}, {}, {}
+        self.cost, self.entered, self.off, self.heap = {}, {}, set(), []
+
+    def add(self, edges: frozenset, weight: np.ndarray, area: float, ids: list[int]) -> int:
+        """The kind, with the (sorted) ids in it."""
+        k = self.index.setdefault((edges, weight.tobytes(), area), len(self.ids))
+        if k == len(self.ids):
+            self.edges.append(edges)
+            self.weight.append(weight)
+            self.area.append(area)
+            self.ids.append([])
+            self.count.append(0)
+        if not self.count[k]:
+            for e in edges:
+                self.by_edge.setdefault(e, set()).add(k)
+        if self.ids[k]:
+            for i in ids:
+                heapq.heappush(self.ids[k], i)
+        else:
+            self.ids[k] = list(ids)
+        self.count[k] += len(ids)
+        self.kind.update(dict.fromkeys(ids, k))
+        return k
+
+    def remove(self, i: int) -> None:
+        k = self.kind.pop(i)
+        self.count[k] -= 1
+        if not self.count[k]:
+            for e in self.edges[k]:
+                self.by_edge[e].discard(k)
+
+    def around(self, k: int) -> set[int]:
+        """Kinds that share an edge, its own included."""
+        return set().union(*(self.by_edge[e] for e in self.edges[k]))
+
+    def next(self, p: int, q: int) -> tuple[int, int] | None:
+        """The first pair of ids of two kinds that is not put off."""
+        if not self.count[p] or self.count[q] < (2 if p == q else 1):
+            return None
+        first = []
+        for k in (p, q):
+            own = self.ids[k]
+            while self.kind.get(own[0]) != k:
+                heapq.heappop(own)
+            first.append(own[0])
+            if p == q:
+                low = heapq.heappop(own)
+                while self.kind.get(own[0]) != k or own[0] == low:
+                    heapq.heappop(own)
+                first.append(own[0])
+                heapq.heappush(own, low)
+                break
+        pair = min(first), max(first)
+        if not self.is_off(*pair):
+            return pair
+        # A put off chart has three neighbours, which all of its kind have in common, so few are left.
+        one, two = ({i for i in self.ids[k] if self.kind.get(i) == k} for k in (p, q))
+        return min(((i, j) for a in one for b in two if a != b for i, j in [(min(a, b), max(a, b))] if not self.is_off(i, j)), default=None)
+
+    def is_off(self, i: int, j: int) -> bool:
+        return bool(self.off) and (i, j, self.version.get(i, 0), self.version.get(j, 0)) in self.off
+
+    def offer(self, p: int, q: int) -> None:
+        """The next pair of two kinds waits, if they join below the threshold."""
+        p, q = min(p, q), max(p, q)
+        if (p, q) not in self.cost:
+            a, b, w = self.area[p], self.area[q], self.weight[p] + self.weight[q]
+            self.cost[p, q] = 1 - math.sqrt(w.dot(w)) / (a + b) if a > 0 and b > 0 else math.inf
+        if self.cost[p, q] < self.threshold:
+            pair = self.next(p, q)
+            if pair is not None and self.entered.get((p, q)) != pair:
+                self.entered[p, q] = pair
+                heapq.heappush(self.heap, (self.cost[p, q], *pair, p, q))
+
+    def merged(self) -> dict[int, list[int]]:
+        """Chart -> its members."""
+        for k in range(len(self.ids)):
+            for o in self.around(k):
+                if o >= k:
+                    self.offer(k, o)
+        own = {i: [i] for i in self.kind}
+        while self.heap:
+            _, i, j, p, q = heapq.heappop(self.heap)
+            if self.entered.get((p, q)) != (i, j):
+                continue
+            del self.entered[p, q]
+            if self.next(p, q) != (i, j):
+                self.offer(p, q)
                 continue
-            left = (near[i] | near[j]) - {i, j}
-            if 0 < len(left) < 3 and len(near[i]) >= 3 and len(near[j]) >= 3:
+            one, two = self.around(p), self.around(q)
+            of_one, of_two, left = (sum(self.count[k] for k in ks) for ks in (one, two, one | two))
+            if 0 < left - 2 < 3 and of_one > 3 and of_two > 3:
+                self.off.add((i, j, self.version.get(i, 0), self.version.get(j, 0)))
+                self.offer(p, q)
                 continue
             own[i] += own.pop(j)
-            weight[i], area[i], version[i] = weight[i] + weight[j], area[i] + area[j], version[i] + 1
-            for k in near.pop(j):
-                near[k].discard(j)
-                if k != i:
-                    near[k].add(i)
-            near[i] = left
-            for k in left:
-                a, b = min(i, k), max(i, k)
-                heapq.heappush(heap, (cost(a, b), a, b, version[a], version[b]))
-        return pd.DataFrame([(t, min(c)) for c in own.values() for t in c], columns=["tri_id", "chart"])
-
-    return at.groupBy(group).applyInPandas(one, "tri_id long, chart long")
+            self.version[i] = self.version.get(i, 0) + 1
+            self.remove(i)
+            self.remove(j)
+            edges = frozenset(e for e in self.edges[p] | self.edges[q] if self.by_edge[e])  # others have no use for the rest
+            new = self.add(edges, self.weight[p] + self.weight[q], self.area[p] + self.area[q], [i])
+            self.offer(p, q)
+            for o in self.around(new):
+                self.offer(new, o)
+        return own
+
+
+def charts(tris: DataFrame, normals: DataFrame, group: str, threshold: float) -> DataFrame:
+    """tri_id -> chart: adjacent charts with the least joining cost merge first, while it is below the threshold.
+
+    The cost is one minus the length of the area-weighted mean normal of the
+    union; a chart without area costs infinity, and a join that would leave
+    fewer than three neighbours is put off unless the chart is closed in.
+    Triangles of a group are adjacent by the edges that come with them, so no pairs are made.
+    """
+    sides = edges(tris.select("tri_id", "a", "b", "c")).groupBy("tri_id").agg(F.collect_set(F.when(F.col("u").isNotNull(), F.struct("u", "v"))).alias("e"))
+    at = tris.select("tri_id", group).join(normals.select("tri_id", "area", "nx", "ny", "nz"), "tri_id").join(sides, "tri_id")
+    at = at.select("tri_id", group, "area", "nx", "ny", "nz", F.col("e.u").alias("us"), F.col("e.v").alias("vs"))
+
+    def one(table):
+        import pyarrow as pa
+
+        ids, last = np.unique(table["tri_id"].to_numpy()[::-1], return_index=True)
+        table = table.take(table.num_rows - 1 - last).combine_chunks()
+        us, vs = (table[c].combine_chunks() for c in ("us", "vs"))
+        us, vs = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (us, vs))
+        sizes = us.value_lengths().to_numpy()
+        _, code = np.unique(np.stack([us.flatten().to_numpy(), vs.flatten().to_numpy()], axis=1), axis=0, return_inverse=True)
+        code = code.reshape(-1)
+        # Triangles with the same edges have one family; a triangle without edges is its own.
+        wide = np.full((len(ids), max(3, sizes.max(initial=0))), -1, np.int64)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        wide[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = code
+        wide.sort(axis=1)
+        families, family = np.unique(wide, axis=0, return_inverse=True)
+        family = family.reshape(-1)
+        sets = [frozenset(r) - {-1} for r in families.tolist()]
+        root = list(range(len(sets)))
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        first: dict[int, int] = {}
+        for k, own in enumerate(sets):
+            for e in own:
+                root[top(k)] = top(first.setdefault(e, k))
+        component = np.array([top(k) for k in range(len(sets))], np.int64)
+        area = table["area"].to_numpy().astype(float)
+        weight = np.stack([table[c].to_numpy().astype(float) for c in ("nx", "ny", "nz")], axis=1) * area[:, None]
+        _, at_first, kind = np.unique(np.column_stack([family, weight, area]), axis=0, return_index=True, return_inverse=True)
+        kind = kind.reshape(-1)
+        order = np.lexsort((ids, kind))
+        ends = np.cumsum(np.bincount(kind, minlength=len(at_first)))
+        chart = ids.copy()
+        place = {}
+        of_component = component[family[at_first]]
+        held, held_of = None, -1
+        todo = np.argsort(of_component, kind="stable").tolist()
+        for n, k in enumerate(todo):
+            if of_component[k] != held_of:
+                held, held_of = _Kinds(threshold), of_component[k]
+                place = {}
+            r = at_first[k]
+            rows = order[(ends[k - 1] if k else 0) : ends[k]]
+            mine = ids[rows].tolist()
+            place.update(zip(mine, rows.tolist(), strict=True))
+            if sets[family[r]]:
+                held.add(sets[family[r]], weight[r], float(area[r]), mine)
+            if n + 1 == len(todo) or of_component[todo[n + 1]] != held_of:
+                for c, members in held.merged().items():
+                    chart[[place[t] for t in members]] = c
+        return pa.table({"tri_id": ids, "chart": chart})
+
+    return at.groupBy(group).applyInArrow(one, "tri_id long, chart long")
 
 
 def grid_charts(points: DataFrame, resolution: int, spread: float, deepest: int = 5) -> DataFrame:

@@ -234,7 +234,7 @@ def charts(spark, d) -> DataFrame:
 
     t = triangles(spark, d).withColumn("grp", F.pmod(F.xxhash64("a"), F.lit(64)))
     n = t.select("tri_id", (F.col("tri_id") % 5 + 1.0).alias("area"), F.lit(0.0).alias("nx"), F.when(F.col("tri_id") % 2 == 0, 0.6).otherwise(0.0).alias("ny"), F.when(F.col("tri_id") % 2 == 0, 0.8).otherwise(1.0).alias("nz"))
-    return mesh.charts(t, n, mesh.adjacent(t), "grp", 0.05)
+    return mesh.charts(t, n, "grp", 0.05)
 
 
 @query("red18_grid_charts")

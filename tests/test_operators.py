@@ -394,3 +394,47 @@ def test_boxes_of_all_sizes_meet_once_in_bounded_cells(spark):
     got = {r["pid"]: r["radius"] for r in neighbors.spatial_anti_join(p, spark.createDataFrame(two)).collect()}
     assert got == {i: 0.0 if inside[i].any() else 1.0 for i in range(120)}
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_charts_of_copies_join_as_of_listed_pairs(spark):
+    """Many equal triangles meet in no list of pairs; the charts are those of the plain rule."""
+    rng = random.Random(8)
+    few = [(i, *rng.sample(range(9), 3), rng.choice((0.0, 1.0, 2.0)), *rng.choice(((0.0, 0.0, 1.0), (0.0, 0.6, 0.8), (0.6, 0.0, 0.8)))) for i in range(70)]
+
+    def plain(rows, threshold):
+        side = {r[0]: {frozenset(e) for e in (r[1:3], r[2:4], (r[3], r[1]))} for r in rows}
+        near = {i: {j for j in side if i != j and side[i] & side[j]} for i in side}
+        area, weight = {r[0]: r[4] for r in rows}, {r[0]: np.array(r[5:]) * r[4] for r in rows}
+        own, version = {i: [i] for i in side}, dict.fromkeys(side, 0)
+        off = set()
+
+        def pairs():
+            for i in own:
+                for j in near[i]:
+                    if i < j and (i, j, version[i], version[j]) not in off and area[i] > 0 and area[j] > 0:
+                        yield 1 - np.linalg.norm(weight[i] + weight[j]) / (area[i] + area[j]), i, j
+
+        while (best := min(pairs(), default=(2.0,)))[0] < threshold:
+            _, i, j = best
+            left = (near[i] | near[j]) - {i, j}
+            if 0 < len(left) < 3 and len(near[i]) >= 3 and len(near[j]) >= 3:
+                off.add((i, j, version[i], version[j]))
+                continue
+            own[i] += own.pop(j)
+            weight[i], area[i], version[i] = weight[i] + weight[j], area[i] + area[j], version[i] + 1
+            for k in near.pop(j):
+                near[k].discard(j)
+                if k != i:
+                    near[k].add(i)
+            near[i] = left
+        return {t: min(c) for c in own.values() for t in c}
+
+    def charts(rows, threshold):
+        df = spark.createDataFrame(pd.DataFrame(rows, columns=["tri_id", "a", "b", "c", "area", "nx", "ny", "nz"])).withColumn("grp", F.lit(0))
+        return {r["tri_id"]: r["chart"] for r in mesh.charts(df.select("tri_id", "a", "b", "c", "grp"), df, "grp", threshold).collect()}
+
+    for threshold in (0.02, 0.06, 0.2):
+        for rows in (few, few[:40], [(i, *t[1:]) for i, t in enumerate(few[:9] * 7)]):
+            assert charts(rows, threshold) == plain(rows, threshold)
+    many = charts([(i, 0, 1, 2, 1.0 + i % 5, 0.0, 0.0, 1.0) for i in range(20000)], 0.05)  # 200 million pairs
+    assert len(many) == 20000 and len(set(many.values())) == 4
