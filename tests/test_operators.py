@@ -460,3 +460,23 @@ def test_nearest_vector_with_missing_components_and_few_pairs(spark, monkeypatch
         out = vectors.nearest_vector(df)
         assert {r["vec_id"]: (r["neighbor"], r["d2"]) for r in out.collect()} == want
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs are never rows
+
+
+def test_scheduler_sees_only_nodes_around_the_cut(spark, monkeypatch):
+    from lodestone.streaming import cut_scheduler
+
+    rng = random.Random(3)
+    rows = [(v, f, n, rng.random() * 8 / (1 + n.bit_length() ** 0.5)) for v in (None, 4, 7) for f in range(0, 14, 1 + (v or 0) % 2) for n in range(300)]
+    df = spark.createDataFrame(rows, "view_id long, frame long, node_id long, error double")
+    want = []
+    for v in (None, 4, 7):
+        cut = {0}
+        for f in sorted({r[1] for r in rows if r[0] == v}):
+            want += [(v, f, *a) for a in update_cut(cut, {r[2]: r[3] for r in rows if r[:2] == (v, f)}, 2, 1.0, 24)]
+    assert len(want) > 60
+    assert sorted(map(repr, (tuple(r) for r in schedule(df, 2, 1.0, 24).collect()))) == sorted(map(repr, want))
+    assert cut_scheduler.within_reach(df.where("view_id = 4 and frame < 4"), 2).count() == 3 + 7 + 15 + 31 + 4
+    empty = [(1, 0, 0, 9.0), (1, 0, 1, 1.0), (1, 0, 2, 1.0), (1, 1, 500, 1.0)]  # the second frame names no node in reach
+    got = schedule(spark.createDataFrame(empty, df.schema), 2, 1.0, 24).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, "split"), (1, 1, 0, "collapse")]
+    assert len(cut_scheduler.looked_up(set(range(1023, 1087)), 2)) < 64 * 12 * 3
