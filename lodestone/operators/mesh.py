@@ -91,26 +91,39 @@ def triangle_tree(tris: DataFrame, vertices: DataFrame, depth: int) -> DataFrame
 
 
 def simplified(tris: DataFrame, vertices: DataFrame, group: str, ratio: float = 0.5) -> DataFrame:
-    """Per group: shortest edges collapse to their midpoints until at most ``ratio`` of the faces is left. Rows of corner coordinates."""
+    """Per group: shortest edges collapse to their midpoints until at most ``ratio`` of the faces is left. Rows of corner coordinates.
+
+    Faces with the same corners in the same order move and go together, so a step costs the different faces around a vertex, not their copies.
+    """
     at = tris.select(group, "tri_id", F.posexplode(F.array("a", "b", "c")).alias("k", "vid")).join(vertices.select("vid", *geo.AXES), "vid")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = dict(zip(pdf["vid"], pdf[["x", "y", "z"]].to_numpy(float), strict=True))
-        faces = {int(t): tuple(g.sort_values("k")["vid"]) for t, g in pdf.groupby("tri_id")}
-        goal = int(len(faces) * ratio)
+        pdf = pdf.sort_values(["tri_id", "k"], kind="stable")
+        corners, where = np.unique(pdf["vid"].to_numpy(), return_index=True)
+        pos = dict(enumerate(pdf[["x", "y", "z"]].to_numpy(float)[where]))
+        ids, start, size = np.unique(pdf["tri_id"].to_numpy(), return_index=True, return_counts=True)
+        # Corners without a vertex are missing, and faces may then have fewer.
+        wide = np.full((len(ids), size.max()), -1)
+        row = np.repeat(np.arange(len(ids)), size)
+        wide[row, np.arange(len(row)) - start[row]] = np.searchsorted(corners, pdf["vid"].to_numpy())
+        kinds, kind, copies = np.unique(wide, axis=0, return_inverse=True, return_counts=True)
+        kind = kind.reshape(-1)
+        faces = {t: tuple(v for v in f if v >= 0) for t, f in enumerate(kinds.tolist())}
+        left, goal = len(ids), int(len(ids) * ratio)
         around: dict[int, set[int]] = {}
         for t, f in faces.items():
             for v in f:
                 around.setdefault(v, set()).add(t)
-        heap = sorted({(float(((pos[p] - pos[q]) ** 2).sum()), min(p, q), max(p, q)) for f in faces.values() for p, q in zip(f, f[1:] + f[:1], strict=True)})
+        heap = sorted({(float(((pos[p] - pos[q]) ** 2).sum()), min(p, q), max(p, q)) for p, q in {(p, q) for f in faces.values() for p, q in zip(f, f[1:] + f[:1], strict=True)}})
         heapq.heapify(heap)
-        while len(faces) > goal and heap:
+        while left > goal and heap:
             cost, p, q = heapq.heappop(heap)
             if p not in around or q not in around or not around[p] & around[q]:
                 continue
             if abs(((pos[p] - pos[q]) ** 2).sum() - cost) > 1e-12:
                 continue
             for t in around[p] & around[q]:
+                left -= int(copies[t])
                 for v in faces.pop(t):
                     around[v].discard(t)
             for t in around.pop(q):
@@ -119,8 +132,14 @@ def simplified(tris: DataFrame, vertices: DataFrame, group: str, ratio: float =
             pos[p] = (pos[p] + pos[q]) / 2
             for v in {v for t in around[p] for v in faces[t]} - {p}:
                 heapq.heappush(heap, (float(((pos[p] - pos[v]) ** 2).sum()), min(p, v), max(p, v)))
-        rows = [(int(pdf[group].iloc[0]), t, *(x for v in f for x in pos[v])) for t, f in sorted(faces.items())]
-        return pd.DataFrame(rows, columns=[group, "tri_id", *(f"{c}{k}" for c in "abc" for k in "xyz")])
+        stay = np.array([t in faces for t in range(len(kinds))])[kind]
+        xyz = np.full((len(kinds), 9), np.nan)
+        for t, f in faces.items():
+            xyz[t] = np.concatenate([pos[v] for v in f])
+        out = pd.DataFrame(xyz[kind[stay]], columns=[f"{c}{k}" for c in "abc" for k in "xyz"])
+        out.insert(0, "tri_id", ids[stay])
+        out.insert(0, group, pdf[group].iloc[0])
+        return out
 
     return at.groupBy(group).applyInPandas(one, f"{group} long, tri_id long, " + ", ".join(f"{c}{k} double" for c in "abc" for k in "xyz"))
 

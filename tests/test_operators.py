@@ -480,3 +480,24 @@ def test_scheduler_sees_only_nodes_around_the_cut(spark, monkeypatch):
     got = schedule(spark.createDataFrame(empty, df.schema), 2, 1.0, 24).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, "split"), (1, 1, 0, "collapse")]
     assert len(cut_scheduler.looked_up(set(range(1023, 1087)), 2)) < 64 * 12 * 3
+
+
+def test_simplified_copies_of_a_face_go_together(spark):
+    import time
+
+    v = spark.createDataFrame([(i, i % 6 * 1.0 + i / 50, i // 6 * 1.3, i % 5 * 0.1) for i in range(36)], "vid long, x double, y double, z double")
+    quads = [i for i in range(30) if i % 6 < 5]
+    faces = [(i, i + 1, i + 6) for i in quads] + [(i + 1, i + 7, i + 6) for i in quads]
+
+    def left(copies):
+        n = len(faces)
+        t = spark.createDataFrame(pd.DataFrame([(k * n + i, *faces[i], 0) for k in range(copies) for i in range(n)], columns=["tri_id", "a", "b", "c", "grp"]))
+        return mesh.simplified(t, v, "grp").toPandas().sort_values("tri_id")
+
+    one = left(1)
+    assert 0 < len(one) <= len(faces) // 2
+    began = time.time()
+    many = left(3000)
+    assert time.time() - began < 30  # 150,000 faces; one by one they take longer
+    assert len(many) == 3000 * len(one) and many.iloc[: len(one)].to_numpy().tolist() == one.to_numpy().tolist()
+    assert many.iloc[-len(one) :, 2:].to_numpy().tolist() == one.iloc[:, 2:].to_numpy().tolist()
