@@ -41,6 +41,19 @@ def shortest_axis(low: tuple[Column, ...], high: tuple[Column, ...]) -> Column:
     return F.when((dx <= dy) & (dx <= dz), 0).when(dy <= dz, 1).otherwise(2)
 
 
+#: Rows of a table of groups or buckets that goes to all tasks.
+SMALL = 1 << 18
+
+
+def beside(small: DataFrame, name: str = "beside") -> DataFrame:
+    """A table of a row a group or bucket, to be joined with their rows: whole in each task while it has at most ``SMALL`` rows.
+
+    A join on few groups would otherwise gather each of them in one task; of more groups than that each holds a small share.
+    """
+    at = cut(small, name)
+    return F.broadcast(at) if at.count() <= SMALL else at
+
+
 def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_bucket: int = 16384) -> DataFrame:
     """Adds ``n``, the rows of the group, and ``_before``, those in buckets ahead of the row's own, which names its bucket.
 
@@ -61,18 +74,23 @@ def bucketed(df: DataFrame, by: str, value: str, tie: str = "pid", rows_per_buck
     ahead = F.coalesce(F.sum("_c").over(Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     at = df.withColumn("_before", F.lit(0).cast("long"))
-    span = at.groupBy(*own).agg(F.count("*").alias("_n"), *ends)
-    at = at.join(span.select(by, F.col("_n").alias("n")), by)
+    span = cut(at.groupBy(*own).agg(F.count("*").alias("_n"), *ends), "spans")
+    small = span.count() <= SMALL
+    span = F.broadcast(span) if small else span
+    counts = span.select(by, F.col("_n").alias("n"))
+    at = at.join(F.broadcast(counts) if small else counts, by)
     names = at.columns
     while True:
         at = at.join(span, own, "left").withColumn("_b", bucket).select(*names, "_b")
         sizes = cut(at.groupBy(*own, "_b").agg(F.count("*").alias("_c")), "buckets").withColumn("_ahead", ahead)
-        at = at.join(sizes.drop("_c"), [*own, "_b"]).withColumn("_before", F.col("_before") + F.col("_ahead")).select(*names)
+        places = sizes.drop("_c")
+        at = at.join(F.broadcast(places) if sizes.count() <= SMALL else places, [*own, "_b"]).withColumn("_before", F.col("_before") + F.col("_ahead")).select(*names)
         large = sizes.where(F.col("_c") > 4 * rows_per_bucket).select(by, (F.col("_before") + F.col("_ahead")).alias("_before"))
         if large.isEmpty():
             return at
         at = cut(at, "buckets")
-        span = cut(at.join(large, own, "left_semi").groupBy(*own).agg(F.count("*").alias("_n"), *ends).where(splits), "spans")
+        span = at.join(beside(large, "large"), own, "left_semi").groupBy(*own).agg(F.count("*").alias("_n"), *ends).where(splits)
+        span = beside(span, "spans")
         if span.isEmpty():
             return at
 
@@ -101,7 +119,7 @@ def downsweep(points: DataFrame, depth: int, fan: int = 2) -> DataFrame:
     for _ in range(depth):
         box = at.groupBy("node_id").agg(*(f(c).alias(f"_{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in geo.AXES))
         axis = longest_axis(geo.vec("_lx", "_ly", "_lz"), geo.vec("_hx", "_hy", "_hz"))
-        at = at.join(box.select("node_id", axis.alias("_axis")), "node_id")
+        at = at.join(beside(box.select("node_id", axis.alias("_axis")), "axes"), "node_id")
         at = at.withColumn("_v", F.when(F.col("_axis") == 0, F.col("x")).when(F.col("_axis") == 1, F.col("y")).otherwise(F.col("z")))
         runs = split_runs(at, "node_id", "_v", fan)
         at = cut(runs.withColumn("node_id", tree.child(F.col("node_id"), F.col("run"), fan)).select(*points.columns, "node_id"))
@@ -147,7 +165,7 @@ def balanced_split(df: DataFrame, parts: int, buckets: int = 100) -> DataFrame:
         axis = longest_axis(geo.vec("lx", "ly", "lz"), geo.vec("hx", "hy", "hz"))
         pick = lambda p: F.when(F.col("axis") == 0, F.col(f"{p}x")).when(F.col("axis") == 1, F.col(f"{p}y")).otherwise(F.col(f"{p}z"))
         big = box.where(F.col("n") > most).withColumn("axis", axis).withColumn("lo", pick("l")).withColumn("hi", pick("h")).where("hi > lo").select("part", "n", "axis", "lo", "hi")
-        big = cut(big)
+        big = beside(big, "big")
         if big.isEmpty():
             break
         v = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
@@ -158,7 +176,7 @@ def balanced_split(df: DataFrame, parts: int, buckets: int = 100) -> DataFrame:
         cuts = hist.withColumn("miss", F.abs(upto - F.col("n") / 2)).groupBy("part").agg(F.min(F.struct("miss", "slot")).alias("m"))
         # The lower side keeps slots up to the cut, but the last slot always goes up so that both sides have rows.
         cuts = cuts.select("part", F.least(F.col("m.slot"), F.lit(buckets - 2)).alias("edge"))
-        placed = placed.join(cuts, "part", "left")
+        placed = placed.join(beside(cuts, "cuts"), "part", "left")
         half = F.when(F.col("edge").isNull(), F.col("part")).otherwise(2 * F.col("part") + (F.col("slot") > F.col("edge")).cast("long"))
         at = cut(placed.withColumn("part", half).select(*df.columns, "part"))
     return at
@@ -169,7 +187,7 @@ def halved(df: DataFrame, max_points: int) -> DataFrame:
     at = df.withColumn("part", F.lit(1).cast("long"))
     for _ in range(60):
         box = at.groupBy("part").agg(F.count("*").alias("n"), *(f(c).alias(f"{m}{c}") for m, f in (("l", F.min), ("h", F.max)) for c in geo.AXES))
-        big = cut(box.where(F.col("n") > max_points).select("part", longest_axis(geo.vec("lx", "ly", "lz"), geo.vec("hx", "hy", "hz")).alias("_axis")))
+        big = beside(box.where(F.col("n") > max_points).select("part", longest_axis(geo.vec("lx", "ly", "lz"), geo.vec("hx", "hy", "hz")).alias("_axis")), "big")
         if big.isEmpty():
             return at
         todo = at.join(big, "part")

@@ -501,3 +501,25 @@ def test_simplified_copies_of_a_face_go_together(spark):
     assert time.time() - began < 30  # 150,000 faces; one by one they take longer
     assert len(many) == 3000 * len(one) and many.iloc[: len(one)].to_numpy().tolist() == one.to_numpy().tolist()
     assert many.iloc[-len(one) :, 2:].to_numpy().tolist() == one.iloc[:, 2:].to_numpy().tolist()
+
+
+def test_few_large_groups_do_not_meet_in_one_task(spark, monkeypatch):
+    """No join of the splits shuffles rows by their node."""
+    df = spark.range(40000).select(F.col("id").alias("pid"), *((F.col("id") * k % 997 * 1.0).alias(c) for k, c in ((7, "x"), (11, "y"), (13, "z"))))
+    plans = []
+    written = partition.cut
+
+    def seen(frame, *a):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame, *a)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        monkeypatch.setattr(partition, "cut", seen)
+        small = [partition.downsweep(df, 2).groupBy("node_id").count().collect(), partition.balanced_split(df, 4).groupBy("part").count().collect()]
+        assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+        monkeypatch.setattr(partition, "SMALL", 0)
+        large = [partition.downsweep(df, 2).groupBy("node_id").count().collect(), partition.balanced_split(df, 4).groupBy("part").count().collect()]
+        assert list(map(sorted, small)) == list(map(sorted, large))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
