@@ -122,17 +122,14 @@ def sparse_to_views(points: DataFrame, cameras: DataFrame) -> tuple[DataFrame, D
 
 def read_patches(spark: SparkSession, patches: str, points: str) -> DataFrame:
     """Patch records (consistency, seen and unseen images) in step with the vertices of the PLY file of the same name and order."""
-    lines = _numbered(spark, patches)
-    start = F.when(F.trim("value") == "PATCHS", 1).otherwise(0)
-    lines = lines.withColumn("patch", F.sum(start).over(Window.partitionBy("path").orderBy("line")) - 1)
-    own = Window.partitionBy("path", "patch").orderBy("line")
-    rows = lines.where("patch >= 0").withColumn("k", F.row_number().over(own) - 1)
+    # A file is cut at its marks where it is read, so no lines are shuffled or sorted.
+    whole = spark.read.text(patches, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
+    records = F.slice(F.split("value", "(?md)^ *PATCHS *$"), 2, 2**31 - 1)
     # After the mark: position, normal, consistency; a count and the seen images; a count and the unseen ones.
-    ints = F.transform(fields(F.col("value")), lambda t: t.try_cast("int"))
-    pick = lambda k, v: F.max(F.when(F.col("k") == k, v))
-    got = rows.groupBy("path", "patch").agg(
-        pick(3, F.get(fields(F.col("value")), F.lit(0)).try_cast("float")).alias("ncc"), pick(5, ints).alias("seen"), pick(7, ints).alias("not_seen")
-    )
+    got = whole.select("path", F.posexplode(records).alias("patch", "value")).withColumn("at", F.split("value", "\n"))
+    line = lambda k: fields(F.get("at", F.lit(k)))
+    ints = lambda k: F.transform(line(k), lambda t: t.try_cast("int"))
+    got = got.select("path", F.col("patch").cast("long").alias("patch"), F.get(line(3), F.lit(0)).try_cast("float").alias("ncc"), ints(5).alias("seen"), ints(7).alias("not_seen"))
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("_stem")
     got = got.select(stem, F.col("patch").alias("ordinal"), "ncc", "seen", "not_seen")
     return read_ply(spark, points).select(stem, "*").join(got, ["_stem", "ordinal"]).drop("_stem")

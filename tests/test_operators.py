@@ -523,3 +523,47 @@ def test_few_large_groups_do_not_meet_in_one_task(spark, monkeypatch):
         assert list(map(sorted, small)) == list(map(sorted, large))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_grid_charts_write_cells_and_no_points(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, rng.random() * 8, rng.random() * 8, rng.random() * 4, 1.0 + i % 3, *((0.0, 0.0, 1.0) if rng.random() < 0.9 else (1.0, 0.0, 0.0))) for i in range(300)]
+    rows.append((300, None, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0))
+    written, wrote = mesh.cut, []
+    monkeypatch.setattr(mesh, "cut", lambda df, *a: wrote.append(df.columns) or written(df, *a))
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double, area double, nx double, ny double, nz double")
+    got = {r["pid"]: r["cell"] for r in mesh.grid_charts(df, 3, 0.05, 3).collect()}
+    assert wrote and not any("pid" in names for names in wrote)
+    low = [min(r[k] for r in rows[:300] + [(0, 9.0, 0.0, 0.0)]) for k in (1, 2, 3)]
+    size = max(max(r[k] for r in rows[:300]) - low[k - 1] for k in (1, 2, 3)) / 3 * 1.01
+    depth = dict.fromkeys(range(301), 0)
+    name = lambda i: "_".join(map(str, (depth[i], *(int((c - m) // (size / 2 ** depth[i])) for c, m in zip(rows[i][1:4], low, strict=True) if c is not None))))
+    for _ in range(3):
+        cells = {}
+        for i in depth:
+            cells.setdefault(name(i), []).append(i)
+        for own in cells.values():
+            w = sum(np.array(rows[i][5:]) * rows[i][4] for i in own)
+            if 1 - np.linalg.norm(w) / sum(rows[i][4] for i in own) > 0.05:
+                depth |= {i: depth[i] + 1 for i in own}
+    assert got == {i: name(i) for i in depth}
+
+
+def test_texels_of_few_bytes_are_dealt_to_all_tasks(spark):
+    corners = {f"{c}{k}": float(n) for n, (c, k) in enumerate((c, k) for c in "abc" for k in "xyz")}
+    t = spark.range(0, 64, 1, 1).select(F.col("id").alias("tri_id"), *(F.lit(v).alias(c) for c, v in (corners | {"as": 0.1, "at": 0.1, "bs": 0.4, "bt": 0.1, "cs": 0.1, "ct": 0.5}).items()))
+    out = mesh.sampled(t, 32).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(out) == 4 and sum(r["n"] for r in out) == 64 * 67
+
+
+def test_patches_are_cut_without_a_window(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "q").mkdir()
+    record = "PATCHS{}\n0 0 0 1\n0 0 1 0\n{} 0 0\n2\n{} 3\n1\n5{}\n"
+    (tmp_path / "p" / "a.patch").write_text("PATCHES\n2\n" + record.format("", 0.5, 4, "\r") + record.format("  ", 0.25, 6, "") + "PATCHS\n1\n")
+    ply = "ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n7 8 9\n"
+    (tmp_path / "q" / "a.ply").write_text(ply)
+    out = structured.read_patches(spark, str(tmp_path / "p"), str(tmp_path / "q"))
+    got = {r["ordinal"]: (r["x"], r["ncc"], r["seen"], r["not_seen"]) for r in out.collect()}
+    assert got == {0: (1.0, 0.5, [4, 3], [5]), 1: (4.0, 0.25, [6, 3], [5]), 2: (7.0, None, None, None)}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
