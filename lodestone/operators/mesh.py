@@ -339,19 +339,27 @@ def grid_charts(points: DataFrame, resolution: int, spread: float, deepest: int
     """
     box = points.agg(*(F.min(c).alias(f"l{c}") for c in geo.AXES), F.greatest(*((F.max(c) - F.min(c)) for c in geo.AXES)).alias("side"))
     size = F.col("side") / resolution * 1.01
-    at = points.join(F.broadcast(box), F.lit(True)).withColumn("size", F.when(size > 0, size).otherwise(1.0)).withColumn("depth", F.lit(0))  # one row
-    cell = lambda s: F.concat_ws("_", "depth", *(F.floor((F.col(c) - F.col(f"l{c}")) / s).cast("string") for c in geo.AXES))
-    at = cut(at.withColumn("cell", cell(F.col("size"))))
+    box = cut(box.withColumn("size", F.when(size > 0, size).otherwise(1.0)), "box")
+    at = points.join(F.broadcast(box), F.lit(True))  # one row
+    # Halving a size is exact, so the cells of all depths are prefixes of the deepest one, and their sums come from one pass over the points.
+    at = at.select("pid", "area", "nx", "ny", "nz", *(F.floor((F.col(c) - F.col(f"l{c}")) / (F.col("size") / 2**deepest)).alias(f"_{c}") for c in geo.AXES))
+    keys = [f"_{c}" for c in geo.AXES]
+    sums = [F.sum("area").alias("w"), *(F.sum(F.col("area") * F.col(n)).alias(f"s{n}") for n in ("nx", "ny", "nz"))]
+    cells = cut(at.groupBy(*keys).agg(*sums).withColumn("depth", F.lit(0)), "cells")
+    up = lambda k: F.expr(f"shiftright({k}, {deepest} - depth)")
     for _ in range(deepest):
-        mean = at.groupBy("cell").agg(F.sum("area").alias("w"), *(F.sum(F.col("area") * F.col(n)).alias(f"s{n}") for n in ("nx", "ny", "nz")))
-        wide = mean.where(1 - F.sqrt(F.col("snx") ** 2 + F.col("sny") ** 2 + F.col("snz") ** 2) / F.when(F.col("w") > 0, F.col("w")) > spread).select("cell")
-        wide = cut(wide)
+        own = ["depth", *(up(k).alias(f"u{k}") for k in keys)]
+        mean = cells.groupBy(*own).agg(*(F.sum(c).alias(c) for c in ("w", "snx", "sny", "snz")))
+        wide = mean.where(1 - F.sqrt(F.col("snx") ** 2 + F.col("sny") ** 2 + F.col("snz") ** 2) / F.when(F.col("w") > 0, F.col("w")) > spread)
+        wide = cut(wide.select("depth", *(f"u{k}" for k in keys), F.lit(1).alias("_w")), "wide")
         if wide.isEmpty():
             break
-        at = at.join(wide.withColumn("_w", F.lit(True)), "cell", "left")
-        at = at.withColumn("size", F.when(F.col("_w"), F.col("size") / 2).otherwise(F.col("size"))).withColumn("depth", F.col("depth") + F.coalesce(F.col("_w").cast("int"), F.lit(0)))
-        at = cut(at.withColumn("cell", F.when(F.col("_w"), cell(F.col("size"))).otherwise(F.col("cell"))).drop("_w"))
-    return at.select("pid", "cell")
+        wide = wide.withColumnRenamed("depth", "_depth")
+        here = geo.every(F.col("depth") == F.col("_depth"), *(up(k).eqNullSafe(F.col(f"u{k}")) for k in keys))
+        cells = cut(cells.join(wide, here, "left").withColumn("depth", F.col("depth") + F.coalesce("_w", F.lit(0))).select(*cells.columns), "cells")
+    name = F.concat_ws("_", "depth", *(up(k).cast("string") for k in keys))
+    found = cells.select(*(F.col(k).alias(f"o{k}") for k in keys), name.alias("cell"))
+    return at.join(found, geo.every(*(F.col(k).eqNullSafe(F.col(f"o{k}")) for k in keys))).select("pid", "cell")
 
 
 def sampled(tris: DataFrame, texels: int) -> DataFrame:
@@ -362,7 +370,9 @@ def sampled(tris: DataFrame, texels: int) -> DataFrame:
     side = F.lit(float(texels))
     u, v = ([F.col(f"{c}{k}") * side for c in "abc"] for k in ("s", "t"))
     run = lambda w: F.sequence(F.floor(F.least(*w)), F.floor(F.greatest(*w)))
-    at = tris.withColumn("_i", F.explode(run(u))).withColumn("_j", F.explode(run(v)))
+    # Few bytes but many texels for each row, so the rows are dealt out whatever their size.
+    spread = tris.repartition(int(tris.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tri_id")
+    at = spread.withColumn("_i", F.explode(run(u))).withColumn("_j", F.explode(run(v)))
     px, py = F.col("_i") + 0.5, F.col("_j") + 0.5
     det = (u[1] - u[0]) * (v[2] - v[0]) - (u[2] - u[0]) * (v[1] - v[0])
     wb = ((px - u[0]) * (v[2] - v[0]) - (u[2] - u[0]) * (py - v[0])) / F.when(det != 0, det)
