@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.sources.binary import files
+from lodestone.sources.binary import store
 from lodestone.sources.text import fields
 
 # Property types and the names that become surfel columns.
@@ -23,10 +26,29 @@ PLY_COLUMNS = {
 SURFEL = ("x", "y", "z", "r", "g", "b", "a", "radius", "nx", "ny", "nz")
 
 
-def ply_vertices(content: bytes) -> pd.DataFrame:
-    """Vertices of an ASCII or binary PLY file; elements before them must have fixed width, later ones (faces) are skipped."""
-    head, body = content.split(b"end_header", 1)
-    body = body.lstrip(b"\r").removeprefix(b"\n")
+def _lines(stream, first: bytes):
+    """Lines of a byte stream after its first bytes; a line end may be cut by the pieces read."""
+    held, piece = "", first
+    while piece:
+        got = (held + piece.decode("latin-1")).splitlines(True)
+        held = got.pop()
+        yield from got
+        piece = stream.read(1 << 20)
+    if held:
+        yield held
+
+
+def ply_frames(stream, step: int = 50_000):
+    """Vertices of an ASCII or binary PLY file in bounded frames; elements before them must have fixed width, later ones (faces) are skipped."""
+    head = b""
+    while b"end_header" not in head:
+        if not (piece := stream.read(1 << 16)):
+            raise ValueError("a PLY file without an end of its header")
+        head += piece
+    head, body = head.split(b"end_header", 1)
+    while not body.lstrip(b"\r") and (piece := stream.read(1 << 16)):
+        body += piece
+    body = body.lstrip(b"\r").removeprefix(b"\n") or stream.read(1 << 16)
     kind, elements = "ascii", []
     for line in head.decode("latin-1").splitlines():
         w = line.split()
@@ -41,39 +63,70 @@ def ply_vertices(content: bytes) -> pd.DataFrame:
                 raise ValueError(f"unknown property type {w[1]}")
             else:
                 elements[-1][2].append((w[2], PLY_TYPES[w[1]]))
-    at = 0
-    lines = body.decode("latin-1").splitlines() if kind == "ascii" else []
+    lines = _lines(stream, body) if kind == "ascii" else None
+
+    def taken(n: int) -> bytes:
+        nonlocal body
+        if len(body) < n:
+            body += stream.read(n - len(body))
+        out, body = body[:n], body[n:]
+        return out
+
     for name, n, props in elements:
         if name != "vertex":
             if any(t is None for _, t in props) and kind != "ascii":
                 raise ValueError("a list stands before the vertices")
-            at += n if kind == "ascii" else n * np.dtype([(p, t) for p, t in props]).itemsize
+            width = 0 if kind == "ascii" else np.dtype([(p, t) for p, t in props]).itemsize
+            for m in _steps(n, step):
+                if kind == "ascii":
+                    for _ in itertools.islice(lines, m):
+                        pass
+                else:
+                    taken(m * width)
             continue
         unknown = [p for p, _ in props if p not in PLY_COLUMNS]
         if unknown:
             raise ValueError(f"unknown properties: {', '.join(unknown)}")
-        if kind == "ascii":
-            rows = np.array([ln.split()[: len(props)] for ln in lines[at : at + n]], float).reshape(n, len(props))
-            out = pd.DataFrame({PLY_COLUMNS[p]: rows[:, i] for i, (p, _) in enumerate(props)})
-        else:
-            order = ">" if kind == "binary_big_endian" else "<"
-            rec = np.frombuffer(body, np.dtype([(p, order + t) for p, t in props]), n, at)
-            out = pd.DataFrame({PLY_COLUMNS[p]: rec[p].astype(float) for p, _ in props})
-        for c in SURFEL:
-            if c not in out:
-                out[c] = 255.0 if c == "a" else 0.0
-        return out[list(SURFEL)]
-    return pd.DataFrame(columns=list(SURFEL), dtype=float)
+        order = np.dtype([(p, (">" if kind == "binary_big_endian" else "<") + t) for p, t in props]) if kind != "ascii" else None
+        for m in _steps(n, step):
+            if kind == "ascii":
+                rows = np.array([ln.split()[: len(props)] for ln in itertools.islice(lines, m)], float).reshape(m, len(props))
+                out = pd.DataFrame({PLY_COLUMNS[p]: rows[:, i] for i, (p, _) in enumerate(props)})
+            else:
+                rec = np.frombuffer(taken(m * order.itemsize), order, m)
+                out = pd.DataFrame({PLY_COLUMNS[p]: rec[p].astype(float) for p, _ in props})
+            for c in SURFEL:
+                if c not in out:
+                    out[c] = 255.0 if c == "a" else 0.0
+            yield out[list(SURFEL)]
+        return
+
+
+def _steps(n: int, step: int):
+    return (min(step, n - i) for i in range(0, n, step))
+
+
+def ply_vertices(content: bytes) -> pd.DataFrame:
+    """All vertices of a PLY file's bytes."""
+    frames = list(ply_frames(io.BytesIO(content)))
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=list(SURFEL), dtype=float)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of PLY files, streamed by the executors: a file is a task's, but never whole in memory."""
+
     def run(batches):
         for b in batches:
-            for at, content in zip(b["path"], b["content"], strict=True):
-                rows = ply_vertices(content)
-                yield rows.assign(path=at, ordinal=np.arange(len(rows)))[["path", "ordinal", *SURFEL]]
-
-    return files(spark, path).mapInPandas(run, "path string, ordinal long, " + ", ".join(f"{c} double" for c in SURFEL))
+            for at in b["path"]:
+                files, name = store(at)
+                n = 0
+                with files.open_input_stream(name) as stream:
+                    for rows in ply_frames(stream):
+                        yield rows.assign(path=at, ordinal=np.arange(n, n + len(rows)))[["path", "ordinal", *SURFEL]]
+                        n += len(rows)
+
+    named = spark.read.format("binaryFile").load(path).select("path")
+    return named.mapInPandas(run, "path string, ordinal long, " + ", ".join(f"{c} double" for c in SURFEL))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:

@@ -567,3 +567,22 @@ def test_patches_are_cut_without_a_window(spark, tmp_path):
     got = {r["ordinal"]: (r["x"], r["ncc"], r["seen"], r["not_seen"]) for r in out.collect()}
     assert got == {0: (1.0, 0.5, [4, 3], [5]), 1: (4.0, 0.25, [6, 3], [5]), 2: (7.0, None, None, None)}
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ply_files_are_streamed():
+    import io
+
+    class Stream(io.BytesIO):
+        def read(self, n=-1):
+            assert 0 <= n <= 1 << 20  # never the whole file
+            return super().read(n)
+
+    head = "ply\r\nformat {}\r\nelement extra 3\r\nproperty float k\r\nelement vertex 5001\r\nproperty float x\r\nproperty float y\r\nend_header\r\n"
+    at = np.arange(10002, dtype=float).reshape(-1, 2)
+    text_ = head.format("ascii 1.0") + "9\r\n" * 3 + "".join(f"{x} {y}\r\n" for x, y in at)
+    packed = head.format("binary_little_endian 1.0").encode() + bytes(12) + at.astype("<f4").tobytes() + b"faces"
+    for content in (text_.encode(), text_.replace("\r\n", "\r").encode(), text_.replace("\r\n", "\n").encode(), packed):
+        frames = list(structured.ply_frames(Stream(content), 700))
+        assert max(map(len, frames)) == 700
+        assert (pd.concat(frames)[["x", "y"]].to_numpy() == at).all()
+        assert (structured.ply_vertices(content)["y"] == at[:, 1]).all()
