@@ -25,19 +25,16 @@ def blocks(spark, d) -> DataFrame:
 
 def block_of(path: str = "path"):
     """The block that a file's name ends with."""
-    return F.regexp_extract(path, r"(\d+)\.[a-z.]+$", 1).cast("long").alias("block")
+    return F.regexp_extract(binary.file_name(path), r"(\d+)\.[a-z.]+$", 1).cast("long").alias("block")
 
 
 def packed(df: DataFrame, spark, ending: str, pack) -> str:
     """One file a block, its bytes made by ``pack`` of the block's rows in the order of pid; gives the folder."""
 
-    def run(pdf):
-        import pandas as pd
+    def make(pdf):
+        return f"block-{int(pdf['block'].iloc[0]):08d}.{ending}", pack(pdf)
 
-        pdf = pdf.sort_values("pid")
-        return pd.DataFrame({"name": [f"block-{int(pdf['block'].iloc[0]):08d}.{ending}"], "content": [pack(pdf)]})
-
-    binary.write_files(df.groupBy("block").applyInPandas(run, "name string, content binary"), path := scratch_path(spark, ending))
+    binary.write_files(binary.in_files(df, F.col("block"), ["pid"], make), path := scratch_path(spark, ending))
     return path
 
 

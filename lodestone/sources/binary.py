@@ -1,8 +1,9 @@
 """Binary readers: fixed records, big-endian provenance, series dumps, bit sets, node-blocked files.
 
-``binaryFile`` gives whole files, one task each; files of fixed records are read
-in slices, so large ones are split. Files are written by the executors, from
-bounded groups of rows. Bytes become columns with numpy structured types.
+``binaryFile`` gives whole files; files of fixed records are read in slices, so
+large ones are split. A task takes many small files or slices and gives their
+rows in frames of many files. Files are written by the executors, from bounded
+groups of rows. Bytes become columns with numpy structured types.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Record layouts.
@@ -36,6 +37,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def file_name(path: str = "path") -> Column:
+    """A path after its last slash: an expression that looks for the end of a name in the whole path costs the square of its length, in each row."""
+    return F.substring_index(path, "/", -1)
+
+
 def store(path: str):
     """File system and path within it of a URI or a plain path, for the executors."""
     from pyarrow import fs
@@ -53,23 +59,65 @@ def write_files(named: DataFrame, path: str) -> int:
     """
 
     def run(batches):
+        at = None
         for b in batches:
+            at = at or _folder(path)
             for name, content in zip(b["name"], b["content"], strict=True):
-                _put(path, name, [content])
+                _put(*at, name, [content])
             yield pd.DataFrame({"n": [len(b)]})
 
     return named.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _put(folder: str, name: str, pieces) -> None:
-    files, at = store(folder)
+def _folder(path: str):
+    """File system and path within it of a folder that is there from now on."""
+    files, at = store(path)
     files.create_dir(at, recursive=True)
+    return files, at
+
+
+def _put(files, at: str, name: str, pieces) -> None:
     with files.open_output_stream(part := f"{at}/.{name}-{uuid.uuid4().hex}") as out:
         for piece in pieces:
             out.write(piece)
     files.move(part, f"{at}/{name}")
 
 
+def in_files(df: DataFrame, by: Column, order: list[str], make) -> DataFrame:
+    """name and content of the file of each group: ``make`` gives them for the group's rows, in that order.
+
+    A task takes its groups one after the other from large batches, as a frame of
+    Spark's own for each group would cost more than a small group's rows.
+    """
+
+    def run(batches):
+        held: list = []
+        made = lambda group: make(group.reset_index(drop=True))
+        for b in batches:
+            key, out = b["_file"].to_numpy(), []
+            if held and len(key) and held[-1]["_file"].iloc[-1] != key[0]:
+                out, held = [made(pd.concat(held))], []
+            ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1), len(b)]
+            for lo, hi in itertools.pairwise([0, *ends]):
+                if hi < len(b):
+                    out.append(made(pd.concat([*held, b.iloc[lo:hi]]) if held else b.iloc[lo:hi]))
+                    held = []
+                elif hi > lo:
+                    held.append(b.iloc[lo:hi])
+            if out:
+                yield pd.DataFrame(out, columns=["name", "content"])
+        if held:
+            yield pd.DataFrame([made(pd.concat(held))], columns=["name", "content"])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_file", by).repartition(tasks, "_file").sortWithinPartitions("_file", *order)
+    return rows.mapInPandas(run, "name string, content binary")
+
+
+#: Slices that a task reads at most.
+SLICES = 1024
+
+
 def write_records(df: DataFrame, layout: list, path: str, order: str, rows_per_file: int = 1_000_000) -> None:
     """Fixed records in files whose names follow the order, about ``rows_per_file`` each, streamed by the executors."""
     names = [n for n, _ in layout]
@@ -80,7 +128,7 @@ def write_records(df: DataFrame, layout: list, path: str, order: str, rows_per_f
         frames = (pack_records(b, layout) for b in batches)
         first = next(frames, None)
         if first is not None:
-            _put(path, f"part-{TaskContext.get().partitionId():08d}.bin", itertools.chain([first], frames))
+            _put(*_folder(path), f"part-{TaskContext.get().partitionId():08d}.bin", itertools.chain([first], frames))
         yield pd.DataFrame({"n": [1]})
 
     n = -(-df.count() // rows_per_file) or 1
@@ -89,12 +137,24 @@ def write_records(df: DataFrame, layout: list, path: str, order: str, rows_per_f
 
 
 def read_records(spark: SparkSession, path: str, layout: list, header: int = 0, column: str = "ordinal", slice_rows: int = 1_000_000) -> DataFrame:
-    """Fixed-width records of files after a header, with their file and ordinal. Only names and sizes are listed; a slice of a file is one row to a task."""
+    """Fixed-width records of files after a header, with their file and ordinal. Only names and sizes are listed; slices of files are rows to a task.
+
+    Small slices share a task and a frame, so neither grows in number with the files.
+    """
     kind = np.dtype(layout)
     sizes = spark.read.format("binaryFile").load(path).select("path", F.floor((F.col("length") - header) / kind.itemsize).alias("n")).where("n > 0")
     slices = sizes.select("path", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(slice_rows))).alias("lo"))
 
+    def joined(held):
+        sizes = [len(r) for *_, r in held]
+        rows = _frame(np.concatenate([r for *_, r in held]))
+        first = np.repeat([i for _, i, _ in held] - np.cumsum([0, *sizes[:-1]]), sizes)
+        rows.insert(0, "path", np.repeat(np.array([at for at, *_ in held], object), sizes))
+        rows.insert(1, column, np.arange(len(rows)) + first)
+        return rows
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
             for at, n, lo in zip(b["path"], b["n"], b["lo"], strict=True):
                 files, name = store(at)
@@ -102,10 +162,17 @@ def read_records(spark: SparkSession, path: str, layout: list, header: int = 0,
                 with files.open_input_file(name) as f:
                     for i in range(lo, end, 100_000):
                         m = min(100_000, end - i)
-                        rows = _frame(np.frombuffer(f.read_at(m * kind.itemsize, header + i * kind.itemsize), kind))
-                        yield rows.assign(path=at, **{column: np.arange(i, i + m)})[["path", column, *kind.names]]
+                        held.append((at, i, np.frombuffer(f.read_at(m * kind.itemsize, header + i * kind.itemsize), kind)))
+                        size += m
+                        if size >= 100_000:
+                            yield joined(held)
+                            held, size = [], 0
+        if held:
+            yield joined(held)
 
-    return slices.repartition(max(1, min(slices.count(), 10_000))).mapInPandas(run, f"path string, {column} long, {_ddl(layout)}")
+    count, rows = slices.agg(F.count("*"), F.sum(F.least(F.lit(slice_rows), F.col("n") - F.col("lo")))).first()
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // slice_rows), -(-count // SLICES))
+    return slices.repartition(max(1, min(count, least, 10_000))).mapInPandas(run, f"path string, {column} long, {_ddl(layout)}")
 
 
 def read_xyz_bin(spark: SparkSession, path: str) -> DataFrame:
@@ -149,21 +216,34 @@ def write_dense_meta(rows: list[tuple[float, list[int], list[int]]], width: int
     return framed(b"".join(x.ljust(width, b"\0") for x in out)), width
 
 
+def gathered(frames, rows: int = 50_000):
+    """Frames of small files joined until they have so many rows."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _decoded(spark: SparkSession, path: str, decode, ddl: str, step: int = 50_000) -> DataFrame:
-    """Rows of a variable-length decoder, yielded in bounded frames."""
+    """Rows of a variable-length decoder, yielded in bounded frames of one or many files."""
     names = [c.split()[0] for c in ddl.split(", ")]
 
     def run(batches):
+        held: list = []
         for b in batches:
             for at, content in zip(b["path"], b["content"], strict=True):
-                held: list = []
                 for row in decode(content):
                     held.append((at, *row))
                     if len(held) == step:
                         yield pd.DataFrame(held, columns=["path", *names])
                         held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["path", *names])
+        if held:
+            yield pd.DataFrame(held, columns=["path", *names])
 
     return files(spark, path).mapInPandas(run, f"path string, {ddl}")
 
@@ -184,9 +264,13 @@ def read_dense_meta(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def dense_with_meta(points: DataFrame, meta: DataFrame) -> DataFrame:
-    """The positional zip of points and their side files (``a.prov`` and ``a.prov.meta``), as a join on file name and ordinal."""
-    stem = F.regexp_extract("path", r"([^/]*?)(\.meta)?$", 1)
-    return points.withColumn("_stem", stem).join(meta.select(stem.alias("_stem"), *(c for c in meta.columns if c != "path")), ["_stem", "pid"]).drop("_stem")
+    """The positional zip of points and their side files (``a.prov`` and ``a.prov.meta``), as a join on file name and ordinal.
+
+    Spark only sees the size of the files' names, and would send all points to the driver; so the sides merge.
+    """
+    stem = F.regexp_replace(file_name(), r"\.meta$", "")
+    side = meta.select(stem.alias("_stem"), *(c for c in meta.columns if c != "path"))
+    return points.withColumn("_stem", stem).join(side.hint("merge"), ["_stem", "pid"]).drop("_stem")
 
 
 _MEASURE = np.dtype([("camera", ">u2"), ("u", ">f4"), ("v", ">f4")])
@@ -237,13 +321,13 @@ def read_fem_bin(spark: SparkSession, path: str) -> DataFrame:
     """Step files of ten concatenated float columns, a tenth of the file each."""
     from lodestone.model import FEM_ATTRIBUTES
 
-    def run(batches):
+    def frames(batches):
         for b in batches:
             for at, content in zip(b["path"], b["content"], strict=True):
                 cols = np.frombuffer(content, "<f4").reshape(len(FEM_ATTRIBUTES), -1)
                 yield pd.DataFrame(dict(zip(FEM_ATTRIBUTES, cols.astype("f8"), strict=True))).assign(path=at, vertex=np.arange(cols.shape[1]))[["path", "vertex", *FEM_ATTRIBUTES]]
 
-    return files(spark, path).mapInPandas(run, "path string, vertex long, " + ", ".join(f"{c} double" for c in FEM_ATTRIBUTES))
+    return files(spark, path).mapInPandas(lambda batches: gathered(frames(batches)), "path string, vertex long, " + ", ".join(f"{c} double" for c in FEM_ATTRIBUTES))
 
 
 def write_fem_bin(pdf: pd.DataFrame) -> bytes:
@@ -287,10 +371,10 @@ def write_cells(visible: DataFrame, nodes: list[int], path: str, cells_per_file:
     def run(pdf):
         first = int(pdf["cell_id"].iloc[0]) // cells_per_file * cells_per_file
         own = pdf.assign(cell_id=pdf["cell_id"] - first)
-        return pd.DataFrame({"name": [f"cells-{first:08d}.pvs"], "content": [write_grid(own, int(own["cell_id"].max()) + 1, nodes)]})
+        return f"cells-{first:08d}.pvs", write_grid(own, int(own["cell_id"].max()) + 1, nodes)
 
     block = F.floor(F.col("cell_id") / cells_per_file)
-    write_files(visible.select("cell_id", "model_id", "node_id").groupBy(block).applyInPandas(run, "name string, content binary"), path)
+    write_files(in_files(visible.select("cell_id", "model_id", "node_id"), block, [], run), path)
 
 
 def write_grid(visible: pd.DataFrame, cells: int, nodes: list[int]) -> bytes:
@@ -316,11 +400,11 @@ def write_nodes(points: DataFrame, surfels_per_node: int, path: str, nodes_per_f
     def run(pdf):
         first = int(pdf["node_id"].iloc[0]) // nodes_per_file * nodes_per_file
         own = pdf.assign(node_id=pdf["node_id"] - first)
-        return pd.DataFrame({"name": [f"nodes-{first:08d}.lod"], "content": [write_lod(own, surfels_per_node)]})
+        return f"nodes-{first:08d}.lod", write_lod(own, surfels_per_node)
 
     block = F.floor(F.col("node_id") / nodes_per_file)
     names = [n for n, _ in XYZ_BIN]
-    write_files(points.select("node_id", *names).groupBy(block).applyInPandas(run, "name string, content binary"), path)
+    write_files(in_files(points.select("node_id", *names), block, [], run), path)
 
 
 def write_lod(pdf: pd.DataFrame, surfels_per_node: int) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.sources.binary import store
+from lodestone.sources.binary import file_name, gathered, store
 from lodestone.sources.text import fields
 
 # Property types and the names that become surfel columns.
@@ -115,7 +115,7 @@ def ply_vertices(content: bytes) -> pd.DataFrame:
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of PLY files, streamed by the executors: a file is a task's, but never whole in memory."""
 
-    def run(batches):
+    def frames(batches):
         for b in batches:
             for at in b["path"]:
                 files, name = store(at)
@@ -126,7 +126,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
                         n += len(rows)
 
     named = spark.read.format("binaryFile").load(path).select("path")
-    return named.mapInPandas(run, "path string, ordinal long, " + ", ".join(f"{c} double" for c in SURFEL))
+    return named.mapInPandas(lambda batches: gathered(frames(batches)), "path string, ordinal long, " + ", ".join(f"{c} double" for c in SURFEL))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -183,7 +183,7 @@ def read_patches(spark: SparkSession, patches: str, points: str) -> DataFrame:
     line = lambda k: fields(F.get("at", F.lit(k)))
     ints = lambda k: F.transform(line(k), lambda t: t.try_cast("int"))
     got = got.select("path", F.col("patch").cast("long").alias("patch"), F.get(line(3), F.lit(0)).try_cast("float").alias("ncc"), ints(5).alias("seen"), ints(7).alias("not_seen"))
-    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("_stem")
+    stem = F.regexp_extract(file_name(), r"^([^/]*)\.[^.]*$", 1).alias("_stem")
     got = got.select(stem, F.col("patch").alias("ordinal"), "ncc", "seen", "not_seen")
     return read_ply(spark, points).select(stem, "*").join(got, ["_stem", "ordinal"]).drop("_stem")
 

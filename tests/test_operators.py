@@ -221,6 +221,38 @@ def test_binary_formats_round_trip(spark, tmp_path):
     assert sorted(r["node_id"] for r in binary.read_lod(spark, str(tmp_path / "t.lod"), 4).collect()) == [0, 0, 1]
 
 
+def test_many_small_files_share_tasks_and_frames(spark, tmp_path):
+    points = pd.DataFrame({c: np.arange(3, dtype=np.float32) for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")})
+    for i in range(40):
+        (tmp_path / f"dense-{i}.prov").write_bytes(binary.write_dense(points[: i % 4] + i, 12))
+    dense = binary.read_dense(spark, str(tmp_path))
+    assert dense.select(F.spark_partition_id()).distinct().count() <= 4
+    got = sorted((r["path"].rsplit("-", 1)[1], r["pid"], r["x"]) for r in dense.collect())
+    assert got == sorted((f"{i}.prov", k, float(i + k)) for i in range(40) for k in range(i % 4))
+    assert binary.read_dense(spark, str(tmp_path / "dense-0.prov")).count() == 0
+
+    sliced = sorted(r["ordinal"] for r in binary.read_records(spark, str(tmp_path / "dense-3.prov"), binary.DENSE, 18, slice_rows=2).collect())
+    assert sliced == [0, 1, 2]
+    joined = binary.dense_with_meta(dense, dense.select("path", "pid", F.col("x").alias("ncc")))
+    assert joined.count() == len(got) and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_groups_over_batches(spark):
+    sizes = {g: 1 + g * g % 23 for g in range(30)}
+    rows = [(g, k) for g, n in sizes.items() for k in range(n)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "block long, pid long")
+    make = lambda pdf: (f"f-{pdf['block'].iloc[0]}", bytes(pdf["pid"].tolist()))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "7", kept):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted((r["name"], bytes(r["content"])) for r in binary.in_files(df, F.col("block"), ["pid"], make).collect())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+        assert got == sorted((f"f-{g}", bytes(range(n))) for g, n in sizes.items())
+
+
 def test_text_formats(spark, tmp_path):
     (tmp_path / "a.nvm").write_text("NVM_V3\n\n2\ncam0 0.5 1 0 0 0 1 2 3 0 0\ncam1 0.5 1 0 0 0 4 5 6 0 0\n\n1\n0.1 0.2 0.3 10 20 30 2 0 7 1.5 2.5 1 8 3.5 4.5\n")
     p = structured.read_nvm_points(spark, str(tmp_path / "a.nvm")).collect()
